@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, simhash
+from . import bpe, gif, mixing, quality_rules, simhash
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op1(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op4(table(spark, sf_dir, "documents"))
+
+
+def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.op5(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op7(table(spark, sf_dir, "documents"))
 
@@ -21,7 +29,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op7_quality_rules, op8_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_mixing, op5_gif, op7_quality_rules, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
