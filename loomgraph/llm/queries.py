@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, mixing, quality_rules, simhash
+from . import bpe, gif, mixing, quality_rules, secrets, sharding, simhash
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op7(table(spark, sf_dir, "documents"))
 
@@ -28,8 +32,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op9(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op4_mixing, op5_gif, op7_quality_rules, op8_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_mixing, op5_gif, op6_secrets, op7_quality_rules, op8_bpe, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
