@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, mixing, quality_rules, secrets, sharding, simhash, substrings
+from . import bpe, gif, mixing, quality_model, quality_rules, secrets, sharding, simhash, substrings
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.op3(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_substrings, op4_mixing, op5_gif, op6_secrets, op7_quality_rules, op8_bpe, op9_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_model, op3_substrings, op4_mixing, op5_gif, op6_secrets, op7_quality_rules, op8_bpe, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
