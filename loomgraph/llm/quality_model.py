@@ -23,7 +23,7 @@ SAMPLE_ROWS = 4000
 WORD_DIMS, SHAPE_DIMS, FORM_DIMS = 3072, 512, 128
 RANGES = ((0, WORD_DIMS), (WORD_DIMS, WORD_DIMS + SHAPE_DIMS), (WORD_DIMS + SHAPE_DIMS, WORD_DIMS + SHAPE_DIMS + FORM_DIMS))
 DIMS = RANGES[-1][1]
-GROUP_WEIGHTS = (0.7, 1.0, 2.0)
+GROUP_WEIGHTS = (1.0, 1.0, 0.5)
 COMPONENTS, NEIGHBOURS, THRESHOLD = 48, 15, 0.3
 
 _CLASSES = bytes(
@@ -44,15 +44,16 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     for s, c in Counter(_RUN.sub(rb"\1", b" ".join(words).translate(_CLASSES)).split()).items():
         shapes[WORD_DIMS + zlib.crc32(s) % SHAPE_DIMS] += c
     lines = [x for x in (text or b"").split(b"\n") if x.strip()]
-    form = {
-        "distinct": round(8 * len(counts) / n) if n else -1,
-        "adjacent": round(16 * sum(map(eq, words, words[1:])) / n) if n else -1,
-        "top": round(16 * max(counts.values()) / n) if n else -1,
-        "lines": round(8 * len(set(lines)) / len(lines)) if lines else -1,
-        "size": n.bit_length(),
+    parts = {
+        "distinct": 1 - len(counts) / n if n else 1,
+        "adjacent": sum(map(eq, words, words[1:])) / n if n else 1,
+        "top": max(counts.values()) / n if n else 1,
+        "lines": 1 - len(set(lines)) / len(lines) if lines else 1,
     }
+    # a share sets one feature for each step of a sixteenth that it reaches, so near shares have near vectors
     base = WORD_DIMS + SHAPE_DIMS
-    forms = [base + zlib.crc32(f"{k}:{v}".encode()) % FORM_DIMS for k, v in form.items()]
+    steps = [f"{k}>={i}" for k, share in parts.items() for i in range(1, round(16 * share) + 1)]
+    forms = [*dict.fromkeys(base + zlib.crc32(x.encode()) % FORM_DIMS for x in ["text", f"size:{n.bit_length()}", *steps])]
     at = np.array([*found, *shapes, *forms], np.int32)
     value = np.log1p(np.array([*found.values(), *shapes.values(), *[1] * len(forms)], np.float32))
     return at, value
