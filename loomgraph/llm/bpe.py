@@ -119,7 +119,7 @@ def encode(
         T.StructField("decoded_sha256", T.StringType()),
     ]
     lists = ["ids"] * keep_ids + ["starts", "ends"] * offsets
-    schema = T.StructType(fields + [T.StructField(x, T.ArrayType(T.LongType())) for x in lists])
+    schema = T.StructType(fields + [T.StructField(x, T.ArrayType(T.IntegerType())) for x in lists])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
@@ -133,13 +133,13 @@ def encode(
                 packed.append(hashlib.sha256(raw).hexdigest())
                 back.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
                 if keep_ids:
-                    more["ids"].append(ids.astype(np.int64))
+                    more["ids"].append(ids.astype(np.int32))
                 if offsets:
                     spans = c.offsets(text, ids)
                     more["starts"].append([x for x, _ in spans])
                     more["ends"].append([x for _, x in spans])
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.string()), pa.array(back, pa.string())]
-            arrays += [pa.array(more[x], pa.list_(pa.int64())) for x in lists]
+            arrays += [pa.array(more[x], pa.list_(pa.int32())) for x in lists]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, mixing, quality_model, quality_rules, secrets, sharding, simhash, substrings
+from . import bpe, gif, licenses, mixing, quality_model, quality_rules, secrets, sharding, simhash, substrings
 from .common import table
 
 
@@ -44,8 +44,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op10(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_simhash, op2_quality_model, op3_substrings, op4_mixing, op5_gif, op6_secrets, op7_quality_rules, op8_bpe,
+    op9_sharding, op10_licenses,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_model, op3_substrings, op4_mixing, op5_gif, op6_secrets, op7_quality_rules, op8_bpe, op9_sharding)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -122,8 +122,11 @@ def op6(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span masked: overlapping spans are one mask. Texts without a span stay as they are, null ones null."""
+def redact(docs: DataFrame, length_col: str | None = None) -> DataFrame:
+    """docs with every span masked: overlapping spans are one mask. Texts without a span stay as they are, null ones null.
+
+    length_col, if given, is set to the new number of characters where a text changed.
+    """
     found = scan(docs, F.col("source"), F.concat_ws("/", "source", "lang")).where(F.size("all") > 0)
     found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("all").alias("__spans"))
     found = found.dropDuplicates(["__id", "__hash"])
@@ -142,4 +145,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     masked = F.aggregate("__spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     hit = hit.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(masked))
+    if length_col:
+        length = F.when(F.col("__spans").isNull(), F.col(length_col)).otherwise(F.length("text"))
+        hit = hit.withColumn(length_col, length.cast(docs.schema[length_col].dataType))
     return hit.select(*docs.columns).unionByName(docs.where(~suspect))
