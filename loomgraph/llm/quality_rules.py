@@ -80,8 +80,8 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of the whole text."""
+def measured(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of the whole text, and more."""
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = docs.withColumn("__words", words(F.col("text")))
     cut = cut.withColumn("__lines", F.filter(F.split(text, "\n"), lambda s: s.rlike(WORD)))
@@ -93,6 +93,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("__words")).alias("n_repeat_words"),
+        *more,
     )
 
 
@@ -113,14 +114,14 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) ->
     return [r for _, r in sorted(rank, key=lambda x: x[0])]
 
 
-def judge(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule] | None = None, *more: Column) -> DataFrame:
     """docs with the measures, base_failed, kept and rejected_by (the first rule of the cascade that rejects).
 
     A null, empty or blank text has no words, so it fails the base rule. Ties and repeated rows are judged alike; the
     verdict doesn't depend on the order of the rules.
     """
     ordered = plan_cascade(docs, default_rules() if rules is None else rules)
-    out = measured(docs).withColumn("base_failed", base_rules()[0].rejects | base_rules()[1].rejects)
+    out = measured(docs, *more).withColumn("base_failed", base_rules()[0].rejects | base_rules()[1].rejects)
     first = F.when(F.col("base_failed"), F.lit("base"))
     for r in ordered:
         first = first.when(r.rejects, F.lit(r.name))
@@ -129,7 +130,10 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """The rows that every rule lets through, with the columns of docs, whatever their names."""
-    return judge(docs.select(F.struct("*").alias("row"), "text"), rules).where("kept").select("row.*")
+    # with a row number among the measures, a filter on them stays above their projection and doesn't compute them anew
+    numbered = F.monotonically_increasing_id().alias("__row")
+    judged = judge(docs.select(F.struct("*").alias("row"), "text"), rules, numbered)
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select("row.*")
 
 
 def op7(docs: DataFrame) -> DataFrame:
