@@ -174,10 +174,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     Level one counts anchors of a quarter of the length. Around those that repeat, equal contexts settle all their
     windows at once and stand for one another from then on. What differs goes on to runs of half the length, and what
     repeats there to whole windows, compared by 128-bit hashes. Counts pre-aggregate before each shuffle, and joins on a
-    hot anchor can be split, since they need no more than one row on the other side.
+    hot anchor can be split, since the other side is a written table with one row for each.
     """
     found = scratch.keep(_found(docs, length))
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    again = scratch.keep(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     first = scratch.keep(found.join(again, "anchor"))
     place = F.struct("doc_id", "hash", "span")
     contexts = scratch.keep(first.groupBy("anchor", "context", "middle").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")))
@@ -185,6 +185,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     settled = settled.select("doc_id", "hash", "span")
 
     mixed = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    mixed = scratch.keep(mixed)
     halves = contexts.join(mixed, "anchor").select(
         "at", "n",
         F.explode(
@@ -195,13 +196,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
         ).alias("half"),
     )
     halves = scratch.keep(halves)
-    twice = halves.groupBy("half").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("half")
+    twice = scratch.keep(halves.groupBy("half").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("half"))
     open_ = halves.join(twice, "half").select("at.doc_id", "at.hash", "at.span", "n").distinct()
     marks = open_.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("span", "n")).alias("marks"))
     marks, on = _same(marks, ("doc_id", "hash"))
     held = _packed(docs).join(marks, on).select("doc_id", "hash", "z", "marks").dropDuplicates(["doc_id", "hash"])
     windows = scratch.keep(_windows(held, length))
     seen = windows.groupBy("high", "low").agg(F.sum("weight").alias("w")).where("w > 1").select("high", "low")
+    seen = scratch.keep(seen)
     single = windows.where("weight = 1").join(seen, ["high", "low"])
     single = single.select("doc_id", "hash", F.expr("shiftleft(place, 32) | place").alias("span"))
     return settled.unionByName(single)
