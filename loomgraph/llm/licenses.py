@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import n_words, short_batches
+from .common import Scratch, n_words, short_batches
 
 #: Licence identifiers and the wording of their usual notices.
 TEMPLATES = (
@@ -154,6 +154,7 @@ def op10(docs: DataFrame) -> DataFrame:
     rows; an empty table gives none.
     """
     path = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang", "doc_id")])
-    return inherit(notices(docs, path)).select(
+    found = Scratch(docs.sparkSession, "licenses").keep(notices(docs, path))
+    return inherit(found).select(
         "doc_id", "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", "inherited_from", "distance"
     )
