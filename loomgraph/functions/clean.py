@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.session import ship_package
 from loomgraph.vocabulary import MISSING, PLACEHOLDERS, TIME_FORMATS
 
 
@@ -215,5 +216,6 @@ def object_map(c: Column | str) -> Column:
 
 def object_map_slow(c: Column | str) -> Column:
     """As object_map, with any Python literal allowed."""
+    ship_package()
     kind = "map<string,string>"
     return F.coalesce(F.from_json(python_literal_json(F.trim(col(c))), kind), F.create_map().cast(kind))

@@ -12,11 +12,17 @@ from loomgraph.functions import clean
 from loomgraph.functions.mentions import mentions
 from loomgraph.operators import preprocess as pre
 from loomgraph.operators import reports, resolve
+from loomgraph.plans import evaluate
 from loomgraph.plans.compile import run_query
+from loomgraph.plans.generate import FREE_FORM
+from loomgraph.plans.repair import Intent
+from loomgraph.plans.validate import Schema, Template
 from loomgraph.sources.graph_view import graph, raw_records, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Texts of the registered queries of the language.
+TEXTS: dict[str, str] = {}
 
 
 def register(sql: str | None = None):
@@ -39,6 +45,7 @@ def cypher(name: str, text: str, sql: str, arrays: tuple[str, ...] = (), params:
         return out
 
     QUERIES[name] = run
+    TEXTS[name] = text
     SQL[name] = oracle.edges() + sql
 
 
@@ -661,3 +668,40 @@ cypher(
 @register(oracle.edges() + " SELECT DISTINCT t_label AS label, t_id AS entity_id FROM e WHERE t_label = 'Repo'")
 def cypher_whole_node(spark, sf_dir):
     return run_query(graph(spark, sf_dir), "MATCH (r:Repo) RETURN r").select("r.*")
+
+
+# checks, templates and repair of queries: rows only, since their input is query text
+
+
+def _corpus() -> list[dict]:
+    return [{"id": n, "query_type": n, "nl_query": n.replace("_", " "), "gold_cypher": t} for n, t in TEXTS.items()]
+
+
+@register()
+def validate_batch(spark, sf_dir):
+    texts = [*TEXTS.items(), ("free_form", FREE_FORM), ("empty", ""), ("cut", "MATCH (a:Actor RETURN a")]
+    found = evaluate.validate_batch(spark.createDataFrame(texts, "query_id string, text string"), "text", Schema(), True)
+    return found.select("query_id", F.array_join("codes", ",").alias("codes"), "valid")
+
+
+@register()
+def template_render_status(spark, sf_dir):
+    templates = {n: Template(n, t.replace("'PR_7#'", "$pr_base_prefix"), (n,), hop_limit=3) for n, t in TEXTS.items()}
+    runs = evaluate.run_templates(spark, _corpus(), templates, {n: n for n in templates}, Schema())
+    return runs.select("query_id", "mode", "status", "category")
+
+
+@register()
+def repair_corpus_status(spark, sf_dir):
+    cases = [
+        {"case_id": f"{n}:{k}", "failure_type": kind, "generated_cypher": bad, "gold_cypher": t, "validator_errors": [kind]}
+        for n, t in TEXTS.items()
+        for k, kind, bad in (
+            ("relation", "WRONG_RELATION_TYPE", t.replace("[rr:REFERENCE]", "[rr:EVENT_ACTION]")),
+            ("scope", "WRONG_ENTITY_SCOPE", t.replace("STARTS WITH 'PR_", "STARTS WITH 'I_")),
+            ("property", "ILLEGAL_PROPERTY", t.replace("rel.url_domain_etld1", "x.url_domain_etld1")),
+        )
+        if bad != t
+    ]
+    runs = evaluate.run_repairs(spark, cases, Schema(), lambda c: Intent(failure_type=c["failure_type"]))
+    return runs.select("case_id", "failure_type", F.array_join("edits", ",").alias("edits"), "valid", "exact")
