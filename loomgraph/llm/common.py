@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import ship_package
+
 #: A word is a run of anything but the six ASCII blanks; bytes.split() without arguments cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -52,7 +54,8 @@ class Scratch:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows; whole texts can be long."""
+    """Get the session ready for Arrow stages: the package on the workers, and batches of few rows, as texts can be long."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
