@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, licenses, mixing, quality_model, quality_rules, secrets, sharding, simhash, substrings
+from . import bpe, gif, licenses, mixing, oracle, quality_model, quality_rules, secrets, sharding, simhash, substrings
 from .common import table
 
 
@@ -59,4 +59,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Fingerprints, tokens, media, models and cosines are beyond SQL; tests hold them against plain Python."""
+    return {
+        "op3_substrings": oracle.OP3, "op4_mixing": oracle.OP4, "op6_secrets": oracle.OP6, "op7_quality_rules": oracle.OP7,
+    }
