@@ -180,7 +180,7 @@ def near_duplicates(
     )
     linked = components(links(classes.select("node", "fps"), radius), scratch)
     rooted = classes.join(linked, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(smallest, "root").select("node", "root", "component_id")
     return rows.join(named, "node").select("doc_id", "text_hash", "fps", "root", "component_id")
 
