@@ -137,6 +137,7 @@ def inherit(found: DataFrame) -> DataFrame:
     nearest = up.join(stated, "ancestor").groupBy("directory").agg(
         F.max_by(F.struct("stated", "stated_in", (F.col("depth") - F.col("d")).alias("distance")), "d").alias("near")
     )
+    nearest = Scratch(found.sparkSession, "directories").keep(nearest)
     out = found.join(nearest, "directory", "left")
     mine = F.col("has_notice")
     return out.select(
