@@ -27,10 +27,10 @@ def repeat_words(ws: Column) -> Column:
     Windows are compared by a 64-bit hash within one text. Only texts in which some window comes again pay for the sort
     that finds the places.
     """
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size(ws) - WINDOW),
-        lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(WINDOW)]),
-    )
+    def hashes(ws: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(ws) - WINDOW), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(WINDOW)])
+        )
 
     def covered(hs: Column) -> Column:
         placed = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -47,8 +47,10 @@ def repeat_words(ws: Column) -> Column:
         return F.aggregate(_let(placed, again), zero, step, lambda acc: acc["n"])
 
     none = F.lit(0).cast("long")
-    counted = _let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), none).otherwise(covered(hs)))
-    return F.when(F.size(ws) <= WINDOW, none).otherwise(counted)
+    distinct = lambda hs: F.size(F.array_distinct(hs)) == F.size(hs)
+    counted = lambda ws: _let(hashes(ws), lambda hs: F.when(distinct(hs), none).otherwise(covered(hs)))
+    # the words are bound as well: a filter that is pushed through the projection must not cut the text for each window
+    return _let(ws, lambda w: F.when(F.size(w) <= WINDOW, none).otherwise(counted(w)))
 
 
 @dataclass(frozen=True)
