@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from .components import components
 BITS = 64
 #: Fingerprints of one bucket that one task compares at once; larger buckets are cut into pairs of chunks.
 CHUNK = 2048
+#: Bits of a family on which pairs meet at least, where a similarity is asked for.
+LEAST_WIDTH = 40
 _MULT = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -56,15 +59,15 @@ def fingerprint(text: bytes | None, shingle: int = 4, families: int = 1) -> list
     return [_majority(_mixed(h, k)) for k in range(families)]
 
 
-def masks(radius: int) -> list[int]:
-    """Covering masks: bit i holds a vector of radius+1 bits, mask v the bits whose vector has odd overlap with v.
+def masks(radius: int, width: int = BITS) -> list[int]:
+    """Covering masks of the lowest `width` bits: bit i holds a vector of radius+1 bits, mask v the bits whose vector has odd overlap with v.
 
     Up to radius differing bits have vectors that do not span the space, so some v is orthogonal to all of them and its
     mask leaves out every differing bit: the pair collides in that table.
     """
     full = 2 ** (radius + 1) - 1
     return [
-        sum(1 << i for i in range(BITS) if ((i % full + 1) & v).bit_count() % 2) for v in range(1, full + 1)
+        sum(1 << i for i in range(width) if ((i % full + 1) & v).bit_count() % 2) for v in range(1, full + 1)
     ]
 
 
@@ -96,55 +99,60 @@ def fingerprints(docs: DataFrame, shingle: int, families: int, id_col: str = "do
     return source.mapInArrow(run, schema)
 
 
-def _forest(node: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _forest(node: np.ndarray, fp: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of one block: each reached node is compared with the nodes not reached yet."""
     rest, out = np.arange(len(fp)), []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = np.bitwise_count(fp[rest] ^ fp[at]) <= radius
+            near = np.bitwise_count(fp[rest] ^ fp[at]).sum(axis=1) <= most
             found, rest = rest[near], rest[~near]
             out += [(int(node[at]), int(node[x])) for x in found]
             queue += found.tolist()
     return out
 
 
-def _block_links(radius: int):
-    def links(node: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+def _block_links(most: int):
+    """Rows (block, node, fps) sorted by block to links of nodes whose fingerprints differ in `most` bits or fewer in all."""
+
+    def linked(node: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
         if len(fp) == 2:
-            return [(int(node[0]), int(node[1]))] if (int(fp[0]) ^ int(fp[1])).bit_count() <= radius else []
-        return _forest(node, fp, radius)
+            return [(int(node[0]), int(node[1]))] if int(np.bitwise_count(fp[0] ^ fp[1]).sum()) <= most else []
+        return _forest(node, fp, most)
+
+    def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            block, node, fp = (b.column(i).to_numpy() for i in range(3))
+            if not b.num_rows:
+                continue
+            block, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            fp = b.column(2).flatten().to_numpy().view(np.uint64).reshape(len(block), -1)
             if held is not None:
                 block, node, fp = (np.concatenate(x) for x in zip(held, (block, node, fp), strict=True))
-            if not len(block):
-                continue
             cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()]
-            out = [x for a, z in zip(cuts, cuts[1:], strict=False) for x in links(node[a:z], fp[a:z].view(np.uint64))]
+            out = [x for a, z in zip(cuts, cuts[1:], strict=False) for x in linked(node[a:z], fp[a:z])]
             held = (block[cuts[-1] :], node[cuts[-1] :], fp[cuts[-1] :])
-            yield _pairs(out)
+            yield pairs(out)
         if held is not None:
-            yield _pairs(links(held[1], held[2].view(np.uint64)))
-
-    def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pairs(linked(held[1], held[2]))
 
     return run
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
+def links(nodes: DataFrame, radius: int, width: int = BITS, most: int | None = None) -> DataFrame:
     """(node, fps) with distinct nodes to links (a, b) that connect all nodes within the radius in some family.
 
     Buckets of one node are dropped by a partial aggregate. A bucket of any size is cut into chunks of about CHUNK nodes
     and each pair of chunks is one block, so no task holds a bucket and no pair is lost; a block yields a spanning forest.
+    With `most`, nodes that meet on the lowest `width` bits of a family are linked if all their fingerprints together
+    differ in at most that many bits.
     """
-    parts = [_signed(m) for m in masks(radius)]
+    parts = [_signed(m) for m in masks(radius, width)]
     at = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
     keys = at.select(
         "node",
@@ -154,21 +162,36 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         ).alias("key"),
     )
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keys.join(shared, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    if most is None:
+        members, most = keys.select("key", "node", F.array("fp").alias("fps")).join(shared, "key"), radius
+    else:
+        members = keys.select("key", "node").join(shared, "key").join(nodes, "node")
+    members = members.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     members = members.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
     blocks = members.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
-        F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"), "node", "fp"
+        F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"), "node", "fps"
     )
-    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links(radius), "a long, b long")
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links(most), "a long, b long")
+
+
+def differing_bits(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of `bits` bits differ at a Jaccard similarity, with half a standard deviation on top."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)) / 2)
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, radius: int = 4, families: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 5, radius: int = 4, families: int = 1, similarity: float | None = None,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, text_hash, fps, root, component_id): component_id is the smallest id reachable over links.
 
     Null, blank and empty texts have fingerprint zero and link like any other. Repeated rows and equal texts share a
     node. A null id never becomes a component_id unless its whole component has no other. An empty table gives no rows.
+
+    Without a similarity, links are exact: all pairs within the radius in some family. With one, the radius holds on a
+    part of each family's bits that grows with the logarithm of the number of fingerprints, so that buckets stay small,
+    and a pair that meets there is linked if all its bits together speak for that Jaccard similarity.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
@@ -178,7 +201,11 @@ def near_duplicates(
     classes = scratch.keep(
         rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.col("fps")).alias("fps"))
     )
-    linked = components(links(classes.select("node", "fps"), radius), scratch)
+    width, most = BITS, None
+    if similarity is not None:
+        width = min(BITS, max(LEAST_WIDTH, 2 * classes.count().bit_length() + 4))
+        most = differing_bits(similarity, BITS * families)
+    linked = components(links(classes.select("node", "fps"), radius, width, most), scratch)
     rooted = classes.join(linked, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(smallest, "root").select("node", "root", "component_id")
@@ -191,13 +218,13 @@ def op1(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = 5, radius: int = 4, families: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = 5, radius: int = 4, families: int = 4, similarity: float = 0.8) -> DataFrame:
     """Keep one row of each near-duplicate group: the one with the smallest id (nulls last), then the smallest text hash.
 
-    Several independent fingerprint families raise the share of pairs at a Jaccard similarity of 0.8 or more that come
-    within the radius of one another. Columns are those of docs. Rows repeated in full leave one.
+    Several independent fingerprint families raise the share of pairs at that Jaccard similarity or more that meet in
+    some bucket. Columns are those of docs. Rows repeated in full leave one.
     """
-    found = near_duplicates(docs, shingle, radius, families)
+    found = near_duplicates(docs, shingle, radius, families, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
     stay = found.groupBy("root").agg(F.min(order).alias("first"))
     stay = stay.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))

@@ -12,7 +12,7 @@ def test_stages_hand_on_the_columns_and_take_effect(spark, docs):
         if name == "quality rules":
             assert out.count() == quality_rules.judge(before).where("kept").count() < before.count()
         if name == "near duplicates":
-            groups = simhash.near_duplicates(before, 5, 4, 4).select("root").distinct().count()
+            groups = simhash.near_duplicates(before, 5, 4, 4, 0.8).select("root").distinct().count()
             assert out.count() == groups
         if name == "secrets":
             assert secrets.op6(out).where("n_assign > 0").count() == 0 and out.count() == before.count()
