@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,11 +58,13 @@ def normal_time(c: Column | str) -> Column:
     t = F.trim(col(c))
     epoch = F.try_to_number(t, F.lit("9" * 18)).cast("double")
     seconds = F.when(epoch > 1e11, epoch / 1000).otherwise(epoch)
-    parsed = [F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS]
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.try_to_timestamp(t))
-    return F.when(t.rlike(r"^\d+$"), _iso(F.timestamp_micros(F.round(seconds * 1000000).cast("long")))).otherwise(
-        _iso(F.coalesce(*parsed, iso))
-    )
+    # the shape of the text picks its format, since a failed parse costs far more than a match
+    parsed = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.try_to_timestamp(t))
+    for f in reversed(TIME_FORMATS):
+        shape = re.sub("[yMdHms]", r"\\d", f.replace("'", "")).replace("/", "[/]")
+        parsed = F.when(t.rlike(f"^{shape}$"), F.try_to_timestamp(t, F.lit(f))).otherwise(parsed)
+    epoch_time = F.timestamp_micros(F.round(seconds * 1000000).cast("long"))
+    return F.when(t.rlike(r"^\d+$"), _iso(epoch_time)).otherwise(_iso(parsed))
 
 
 def upper_snake(c: Column | str) -> Column:
