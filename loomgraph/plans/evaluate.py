@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.rules import failure_category
+from loomgraph.functions.rules import failure_category, query_level
 from loomgraph.plans.generate import fill, slot_values
 from loomgraph.plans.repair import Intent, repair
 from loomgraph.plans.syntax import QueryError, parse
@@ -123,3 +123,29 @@ def compare(spark: SparkSession, examples: list[dict], generators: dict[str, Cal
     names = ("generator", "query_id", "text", "final", "valid_before", "valid", "attempted", "repaired", "exact")
     kinds = [T.StringType()] * 4 + [T.BooleanType()] * 5
     return spark.createDataFrame(rows, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+
+
+def level_matrix(runs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Queries (query_id, query_type, level, text) with their level, the relations they name, and the status of each mode."""
+    relations = F.array_join(F.array_distinct(F.flatten(F.transform(
+        F.regexp_extract_all("text", F.lit(r"\[[A-Za-z_]*:([A-Za-z_|]+)"), F.lit(1)), lambda x: F.split(x, r"\|")
+    ))), ",")
+    named = queries.select("query_id", "query_type", query_level("level", "query_type").alias("level"), relations.alias("relations"))
+    status = runs.groupBy("query_id").pivot("mode", ["template_first", "controlled"]).agg(F.first("status"))
+    return named.join(status, "query_id", "left")
+
+
+def level_summary(runs: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Counts of each status by level and mode."""
+    return runs.join(matrix.select("query_id", "level"), "query_id").groupBy("level", "mode", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_traces(runs: DataFrame, path: str) -> None:
+    """One JSON object a line for each run."""
+    runs.select(F.to_json(F.struct(*runs.columns))).write.mode("overwrite").text(path)
+
+
+def markdown(rows: DataFrame) -> str:
+    """A small report table as text; all of its rows come to the driver."""
+    lines = ["| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns)]
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.collect()])

@@ -213,3 +213,12 @@ def template_codes(text: str, template: Template, slots: dict, hop_zero_is_two:
         elif f"STARTS WITH '{slots[slot]}'" not in text:
             out.append("REPO_SCOPE_CONSTRAINT_MISSING")
     return list(dict.fromkeys(out))
+
+
+def describe(schema: Schema) -> dict:
+    """A schema as the mapping that readers.read_schema takes; written apart from hand-kept files."""
+    return {
+        "allowed_node_labels": sorted(schema.labels), "allowed_relationship_types": sorted(schema.relations),
+        "allowed_properties": sorted(schema.properties), "properties_by_relation": {k: sorted(v) for k, v in sorted(schema.by_relation.items())},
+        "direction_constraints": sorted(schema.directions),
+    }

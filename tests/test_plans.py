@@ -106,3 +106,19 @@ def test_compare_and_repair_reports(spark):
     cases = [{"case_id": "c", "failure_type": "WRONG_RELATION_TYPE", "generated_cypher": generate.FREE_FORM, "gold_cypher": PR}]
     runs = evaluate.run_repairs(spark, cases, S, lambda c: Intent(), use_gold=True)
     assert evaluate.repair_report(runs).first().valid == 1 and evaluate.edit_report(runs).count() >= 1
+
+
+def test_matrix_traces_and_schema_text(spark, tmp_path):
+    t = Template("t", "MATCH (p:PullRequest)-[r:REFERENCE]->(x:Commit) WHERE r.service_rel_type = 'REFERENCES' RETURN p.entity_id LIMIT 5", ("q1",))
+    queries = [{"id": "q1", "gold_cypher": t.skeleton, "nl_query": ""}]
+    runs = evaluate.run_templates(spark, queries, {"t": t}, {"q1": "t"}, S)
+    texts = spark.createDataFrame([("q1", "l3_x", None, t.skeleton)], "query_id string, query_type string, level string, text string")
+    matrix = evaluate.level_matrix(runs, texts)
+    row = matrix.first()
+    assert (row.level, row.relations, row.controlled) == ("L3", "REFERENCE", "fail" if "fail" in {r.status for r in runs.collect()} else "success")
+    assert evaluate.level_summary(runs, matrix).count() == 2 and evaluate.markdown(matrix).startswith("| query_id")
+    evaluate.write_traces(runs, str(tmp_path / "t"))
+    assert spark.read.json(str(tmp_path / "t")).count() == 2
+    from loomgraph.plans.validate import describe
+
+    assert readers.read_schema(describe(S)) == S
