@@ -18,8 +18,9 @@ from .components import components
 BITS = 64
 #: Fingerprints of one bucket that one task compares at once; larger buckets are cut into pairs of chunks.
 CHUNK = 2048
-#: Bits of a family on which pairs meet at least, where a similarity is asked for.
-LEAST_WIDTH = 40
+#: Bits of a family on which pairs meet at least, where a similarity is asked for; more by twice the logarithm of the
+#: number of fingerprints, so that chance meetings grow with the number and not with its square.
+LEAST_WIDTH = 16
 _MULT = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
