@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from .common import Scratch, short_batches
 from .components import components
 
@@ -190,23 +191,25 @@ def near_duplicates(
     Null, blank and empty texts have fingerprint zero and link like any other. Repeated rows and equal texts share a
     node. A null id never becomes a component_id unless its whole component has no other. An empty table gives no rows.
 
-    Without a similarity, links are exact: all pairs within the radius in some family. With one, the radius holds on a
-    part of each family's bits that grows with the logarithm of the number of fingerprints, so that buckets stay small,
-    and a pair that meets there is linked if all its bits together speak for that Jaccard similarity.
+    Without a similarity, links are all pairs within the radius in some family. With one, the radius says nothing and links
+    are all pairs of texts whose shingles have that Jaccard similarity or more; component_id and root are those of the texts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     rows = fingerprints(docs, shingle, families, id_col, text_col)
+    if similarity is not None:
+        rows = scratch.keep(rows)
+        texts = scratch.keep(jaccard.groups(docs, shingle, similarity, text_col))
+        ids = rows.groupBy("text_hash").agg(F.min("doc_id").alias("least"))
+        smallest = texts.join(ids, "text_hash").groupBy("root").agg(F.min("least").alias("component_id"))
+        named = scratch.keep(texts.join(smallest, "root"))
+        return rows.join(named, "text_hash").select("doc_id", "text_hash", "fps", "root", "component_id")
     node = F.col("fps")[0] if families == 1 else F.xxhash64("fps")
     rows = scratch.keep(rows.withColumn("node", node))
     classes = scratch.keep(
         rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.col("fps")).alias("fps"))
     )
-    width, most = BITS, None
-    if similarity is not None:
-        width = min(BITS, max(LEAST_WIDTH, 2 * classes.count().bit_length() + 4))
-        most = differing_bits(similarity, BITS * families)
-    linked = components(links(classes.select("node", "fps"), radius, width, most), scratch)
+    linked = components(links(classes.select("node", "fps"), radius), scratch)
     rooted = classes.join(linked, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(smallest, "root").select("node", "root", "component_id")
@@ -219,15 +222,18 @@ def op1(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = 5, radius: int = 4, families: int = 4, similarity: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one row of each near-duplicate group: the one with the smallest id (nulls last), then the smallest text hash.
 
-    Several independent fingerprint families raise the share of pairs at that Jaccard similarity or more that meet in
-    some bucket. Columns are those of docs. Rows repeated in full leave one.
+    A group is connected by pairs of texts whose shingles have at least that Jaccard similarity; all such pairs count, and
+    no other. Columns are those of docs. Rows repeated in full leave one.
     """
-    found = near_duplicates(docs, shingle, radius, families, similarity)
+    scratch = Scratch(docs.sparkSession, "dedup")
+    texts = scratch.keep(jaccard.groups(docs, shingle, similarity))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
-    stay = found.groupBy("root").agg(F.min(order).alias("first"))
+    # the first row of each text comes from a partial aggregate, so a text with many copies is one row of the join
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).groupBy("text_hash").agg(F.min(order).alias("first"))
+    stay = rows.join(texts, "text_hash").groupBy("root").agg(F.min("first").alias("first"))
     stay = stay.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     keyed = docs.withColumn("__key", F.xxhash64("text"))
     kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left_semi")
