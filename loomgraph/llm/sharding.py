@@ -75,13 +75,13 @@ def _laid_out(supply: list[int], flow: dict[tuple[int, int], int]) -> list[list[
 
 
 def sized(docs: DataFrame, old_shard: Column | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, hash, old_shard); a null text has no bytes and size 1."""
+    """(doc_id, size, text_crc32, hash, old_shard, document); document holds all columns. A null text has no bytes and size 1."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.xxhash64("doc_id", text)
     old = F.pmod(digest, F.lit(OLD_SHARDS)) if old_shard is None else old_shard
     return docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        digest.alias("hash"), old.cast("int").alias("old_shard"),
+        digest.alias("hash"), old.cast("int").alias("old_shard"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
     )
 
 
@@ -93,6 +93,9 @@ def reshard(rows: DataFrame, shards: int = SHARDS, capacities: list[int] | None
     shard sizes come to the driver. Slots count up from 0 in each new shard without a gap.
     """
     scratch = Scratch(rows.sparkSession, "reshard")
+    # documents wait in a written table for their places, so that texts aren't sorted
+    whole = scratch.keep(rows.withColumn("__row", F.monotonically_increasing_id()))
+    rows = whole.drop("document")
     magnitude = F.floor(F.log2("size")).cast("int")
     rows = scratch.keep(
         rows.withColumn("block", F.lit(-BUCKETS) * magnitude + F.pmod(F.xxhash64("hash"), F.lit(BUCKETS)).cast("int"))
@@ -117,25 +120,47 @@ def reshard(rows: DataFrame, shards: int = SHARDS, capacities: list[int] | None
     before = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)
     counts = out.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    return out.join(counts, group).withColumn("slot", F.col("ahead") + F.col("nth") - 1).drop("ahead", "nth", "block")
+    out = out.join(counts, group).select("__row", "shard", (F.col("ahead") + F.col("nth") - 1).alias("slot"))
+    return whole.join(out, "__row").drop("__row")
 
 
 def rewrite(placed: DataFrame, path: str) -> list[int]:
-    """Write the shards that get or lose rows, one folder each, under path; the other shards' folders stay as they are."""
+    """Write the shards that get or lose rows, one folder each, under path; the other shards' folders stay as they are.
+
+    Files hold the documents with all their columns, and their slots, by which each file is sorted; texts are not shuffled
+    again for an order across files. A shard that has lost all its rows loses its folder.
+    """
+    spark = placed.sparkSession
     moved = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     affected = sorted(r[0] for r in moved.collect())
-    part = placed.where(F.col("shard").isin(affected)).drop("old_shard")
-    part = part.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    part = placed.where(F.col("shard").isin(affected)).select("document", "slot", "shard")
+    part = part.sortWithinPartitions("shard", "slot")
     part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    held = {r[0] for r in placed.select("shard").distinct().collect()}
+    for shard in set(affected) - held:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return affected
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """Law `bytes`: 12 old shards by hash go to 16 of near equal bytes.
+    """Law `bytes`: 12 old shards by hash go to 16 of near equal bytes; affected shards are rewritten and read back.
 
     Null ids and texts are placed like others, repeated rows get slots of their own, an empty table gives no rows.
     """
-    return reshard(sized(docs)).select(
+    scratch = Scratch(docs.sparkSession, "shards")
+    placed = reshard(sized(docs))
+    path = f"{scratch.base}/files"
+    affected = rewrite(placed, path)
+    columns = ("doc_id", "size", "text_crc32", "shard", "slot", "old_shard")
+    out = placed.where(~F.col("shard").isin(affected)).select(*columns)
+    if affected:
+        held = placed.select("document", F.col("slot").cast("long"), "shard").schema
+        files = docs.sparkSession.read.schema(held).parquet(path)
+        documents = files.select("document.doc_id", "document.text", F.struct("shard", "slot").alias("at"))
+        read = sized(documents).select("*", "document.at.shard", "document.at.slot").select(*columns)
+        out = out.unionByName(read)
+    return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )

@@ -42,3 +42,24 @@ def test_rewrite_touches_only_affected_shards(spark, docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {r.shard for r in back.select("shard").distinct().collect()} <= set(affected)
     assert back.count() == placed.where(placed.shard.isin(affected)).count()
+
+
+def test_rewritten_files_hold_whole_documents_and_retired_shards_go(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    path, sized = str(tmp_path / "out"), q.sized(docs)
+    old = sized.select("document", F.lit(0).cast("long").alias("slot"), F.col("old_shard").alias("shard"))
+    old.write.partitionBy("shard").parquet(path)
+    placed = q.reshard(sized, 4)
+    affected = q.rewrite(placed, path)
+    assert set(range(4, 12)) <= set(affected)
+    back = spark.read.parquet(path)
+    assert sorted(map(str, back.select("document.*").collect())) == sorted(map(str, docs.collect()))
+    assert {r.shard for r in back.select("shard").distinct().collect()} == set(range(4))
+
+
+def test_query_reads_the_rewritten_files(docs, monkeypatch):
+    paths, rewrite = [], q.rewrite
+    monkeypatch.setattr(q, "rewrite", lambda placed, path: paths.append(path) or rewrite(placed, path))
+    out = q.op9(docs)
+    assert len(paths) == 1 and any(f"{paths[0]}/shard=" in f for f in out.inputFiles())
