@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -56,6 +57,7 @@ class Matcher:
         self.names = [n for n, _ in templates]
         self.idf = {w: math.log((1 + len(bags)) / (1 + c)) + 1 for w, c in seen.items()}
         self.unseen = math.log(1 + len(bags)) + 1
+        self.sizes = sorted({b.total() for b in bags})
         self.terms: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, b in enumerate(bags):
             weights = {w: c * self.idf[w] for w, c in b.items()}
@@ -77,14 +79,49 @@ class Matcher:
         k = min(dots, key=lambda k: (-dots[k], k))
         return dots[k] / math.sqrt(norm), self.names[k]
 
+    def windows(self, text: str) -> tuple[list[str], list[tuple[float, str, int, int]]]:
+        """The terms of a text, and (cosine, licence, from, to) of the windows near hints that reach the threshold.
+
+        Windows are as long as the templates and slide term by term; their dot products and norms are kept up to date.
+        """
+        spots = [(x.start(), x.group()) for x in _TOKEN.finditer(text.lower())]
+        starts, terms = [s for s, _ in spots], [t for _, t in spots]
+        near: list[list[int]] = []
+        for x in _HINT.finditer(text):
+            at = max(0, bisect_right(starts, x.start()) - 1)
+            low, high = max(0, at - self.sizes[-1]), min(len(terms), at + self.sizes[-1])
+            if near and low <= near[-1][1]:
+                near[-1][1] = high
+            else:
+                near.append([low, high])
+        found = []
+        for low, high in near:
+            for size in self.sizes:
+                bag, dots, norm = Counter(), defaultdict(float), 0.0
+                for i in range(low, high):
+                    for w, step in ((terms[i], 1), (terms[i - size], -1)) if i - size >= low else ((terms[i], 1),):
+                        v = self.idf.get(w, self.unseen)
+                        norm += v * v * ((bag[w] + step) ** 2 - bag[w] ** 2)
+                        bag[w] += step
+                        for k, t in self.terms.get(w, ()):
+                            dots[k] += step * v * t
+                    k = max(dots, key=lambda k: (dots[k], -k), default=None)
+                    if k is not None and dots[k] > 0 and norm > 0 and dots[k] >= (THRESHOLD - 1e-9) * math.sqrt(norm):
+                        a = max(low, i - size + 1)
+                        score, name = self.best(" ".join(terms[a : i + 1]))
+                        if score >= THRESHOLD:
+                            found.append((score, name, a, i + 1))
+        return terms, found
+
     def scan(self, text: str) -> tuple[float, str | None, bool]:
-        """Best match over the lines with a hint, the header as one, and the whole text if it is short."""
+        """Best match over the lines with a hint, the header as one, and windows of the templates' lengths around all hints."""
         lines = text.split("\n")
         found = [x for x in lines if _HINT.search(x)]
         if not found:
             return 0.0, None, False
         units = found + ["\n".join(lines[:HEADER_LINES])] * (len(lines) > 1)
-        score, name = max((self.best(u) for u in dict.fromkeys(units)), key=lambda x: (x[0], x[1] or ""))
+        scores = [self.best(u) for u in dict.fromkeys(units)] + [x[:2] for x in self.windows(text)[1]]
+        score, name = max(scores, key=lambda x: (x[0], x[1] or ""))
         return score, name if score >= THRESHOLD else None, True
 
 

@@ -39,3 +39,14 @@ def test_query(docs, empty):
     got = q.op10(docs).collect()
     assert len(got) == docs.count() and {g.license for g in got if g.doc_id == 220} == {"MIT"}
     assert q.op10(empty).count() == 0
+
+
+MIT = q.TEMPLATES[1][1]
+
+
+def test_notices_are_found_anywhere_in_a_text():
+    m, words = q.Matcher(), q._TOKEN.findall(MIT.lower())
+    wrapped = "\n".join(["code = 1"] * 40 + ["# " + " ".join(words[i : i + 7]) for i in range(0, len(words), 7)] + ["more = 2"] * 40)
+    assert m.scan(wrapped)[1] == "MIT"
+    line = " ".join(["padding"] * 60) + " Licensed under the Apache License, Version 2.0. " + " ".join(["padding"] * 60)
+    assert m.scan(line)[1] == "Apache-2.0"
