@@ -8,6 +8,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,9 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 THRESHOLD, HEADER_LINES = 0.6, 25
-#: A licence file is a short document with a notice; in it the notice is a fair part of the text.
-FILE_WORDS = 60
+#: Without file names, a licence file is a text of which notices of its licence are at least this share, whatever its length.
+FILE_SHARE = 0.5
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying)s?([._-][^/]*)?$"
 _HINT = re.compile(r"licen[cs]|copyright|public domain|redistribut|permission is hereby|\bcc0?\b", re.I)
 _TOKEN = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 
@@ -113,6 +115,18 @@ class Matcher:
                             found.append((score, name, a, i + 1))
         return terms, found
 
+    def share(self, text: str, name: str) -> float:
+        """The share of a text's terms that lie in windows of that licence; 1 if the whole text matches it."""
+        score, whole = self.best(text)
+        if whole == name and score >= THRESHOLD:
+            return 1.0
+        terms, found = self.windows(text)
+        inside = np.zeros(len(terms), bool)
+        for _, n, a, z in found:
+            if n == name:
+                inside[a:z] = True
+        return float(inside.mean()) if len(terms) else 0.0
+
     def scan(self, text: str) -> tuple[float, str | None, bool]:
         """Best match over the lines with a hint, the header as one, and windows of the templates' lengths around all hints."""
         lines = text.split("\n")
@@ -126,7 +140,7 @@ class Matcher:
 
 
 def notices(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, path, n_words, own_score, own_license, has_notice) of each whole text."""
+    """(doc_id, path, n_words, own_score, own_license, has_notice, share) of each whole text."""
     short_batches(docs.sparkSession)
     source = docs.select(
         F.col(id_col).alias("doc_id"), path.alias("path"), n_words(F.col(text_col)).alias("n_words"),
@@ -134,15 +148,16 @@ def notices(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str
     )
     schema = T.StructType(
         [source.schema[c] for c in ("doc_id", "path", "n_words")]
-        + [T.StructField("own_score", T.DoubleType()), T.StructField("own_license", T.StringType()), T.StructField("has_notice", T.BooleanType())]
+        + [T.StructField("own_score", T.DoubleType()), T.StructField("own_license", T.StringType()), T.StructField("has_notice", T.BooleanType()), T.StructField("share", T.DoubleType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher()
         for b in batches:
-            got = [m.scan(t.as_py()) for t in b.column(3)]
-            cols = list(zip(*got, strict=True)) or [(), (), ()]
-            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.string(), pa.bool_()), strict=True)]
+            texts = [t.as_py() for t in b.column(3)]
+            got = [(*x, m.share(t, x[1]) if x[1] else 0.0) for t in texts for x in (m.scan(t),)]
+            cols = list(zip(*got, strict=True)) or [(), (), (), ()]
+            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.string(), pa.bool_(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *arrays], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -153,16 +168,18 @@ def _parent(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"[^/]*$", ""), r"/+$", "")
 
 
-def inherit(found: DataFrame) -> DataFrame:
+def inherit(found: DataFrame, named: bool = True) -> DataFrame:
     """found with license, inherited_from and distance: a file without a notice takes its nearest ancestor's licence.
 
-    Licence files state their directory's licence: of several, the one with the best score, then the least path. Distinct
+    Licence files state their directory's licence; they are known by name (LICENSE, COPYING), or where paths hold no file
+    names, by the share of the text that matches, at any length: of several, the one with the best score, then the least path. Distinct
     directories are joined with their ancestors, so files are not multiplied by depth; a hot directory is one row on the
     small side. Null paths have no directory and inherit nothing.
     """
     found = found.withColumn("directory", _parent(F.col("path")))
     rank = F.struct((-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own_license").alias("l"))
-    stated = found.where(F.col("own_license").isNotNull() & (F.col("n_words") <= FILE_WORDS) & F.col("directory").isNotNull())
+    states = F.col("path").rlike(FILE_NAME) if named else F.col("share") >= FILE_SHARE
+    stated = found.where(F.col("own_license").isNotNull() & states & F.col("directory").isNotNull())
     stated = stated.groupBy(F.col("directory").alias("ancestor")).agg(F.min(rank).alias("best")).select(
         "ancestor", F.col("best.l").alias("stated"), F.col("best.p").alias("stated_in")
     )
@@ -193,6 +210,6 @@ def op10(docs: DataFrame) -> DataFrame:
     """
     path = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang", "doc_id")])
     found = Scratch(docs.sparkSession, "licenses").keep(notices(docs, path))
-    return inherit(found).select(
+    return inherit(found, named=False).select(
         "doc_id", "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", "inherited_from", "distance"
     )

@@ -44,6 +44,14 @@ def test_query(docs, empty):
 MIT = q.TEMPLATES[1][1]
 
 
+def test_licence_files_of_any_length_state_their_licence(spark):
+    rows = [("a/LICENSE", "Copyright 2020\n" + MIT + " and more terms" * 40), ("a/x.py", "code"), ("b/7", MIT + " " + MIT), ("b/8", "code"), ("c/9", MIT + " other words" * 90), ("c/10", "code")]
+    docs = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, path string")
+    found = q.notices(docs, docs.path).cache()
+    names, shares = ({r.doc_id: r.license for r in q.inherit(found, named).collect()} for named in (True, False))
+    assert names[1] == "MIT" and shares[3] == "MIT" and names[3] is None and shares[5] is None
+
+
 def test_notices_are_found_anywhere_in_a_text():
     m, words = q.Matcher(), q._TOKEN.findall(MIT.lower())
     wrapped = "\n".join(["code = 1"] * 40 + ["# " + " ".join(words[i : i + 7]) for i in range(0, len(words), 7)] + ["more = 2"] * 40)
