@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +18,6 @@ from .components import components
 BITS = 64
 #: Fingerprints of one bucket that one task compares at once; larger buckets are cut into pairs of chunks.
 CHUNK = 2048
-#: Bits of a family on which pairs meet at least, where a similarity is asked for; more by twice the logarithm of the
-#: number of fingerprints, so that chance meetings grow with the number and not with its square.
-LEAST_WIDTH = 16
 _MULT = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -176,12 +172,6 @@ def links(nodes: DataFrame, radius: int, width: int = BITS, most: int | None = N
     return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links(most), "a long, b long")
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of `bits` bits differ at a Jaccard similarity, with half a standard deviation on top."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)) / 2)
-
-
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, radius: int = 4, families: int = 1, similarity: float | None = None,
     id_col: str = "doc_id", text_col: str = "text",

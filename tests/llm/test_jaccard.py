@@ -78,3 +78,15 @@ def test_bounds_lose_no_pair():
             assert not jaccard._far(jaccard.sketch(a), jaccard.sketch(b), np.array(len(a) + len(b)), 0.8)
             fine = [jaccard.sketch(h, jaccard.fine_cells(len(h))).tobytes() for h in (a, b)]
             assert jaccard._fine_near(*fine, len(a) + len(b), 0.8)
+
+
+def test_texts_below_the_bound_are_no_link(spark):
+    """One changed word in 50 leaves 41 of 51 shingles (0.804); two apart leave 36 of 56 (0.64) and stay two documents."""
+    words = [f"t{i}" for i in range(50)]
+    one, two = list(words), list(words)
+    one[10] = two[10] = "x"
+    two[30] = "y"
+    pairs = {"linked": (words, one), "apart": (words, two)}
+    for name, (a, b) in pairs.items():
+        docs = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b))], "doc_id long, text string")
+        assert simhash.dedup(docs).count() == (1 if name == "linked" else 2)
