@@ -90,3 +90,16 @@ def test_texts_below_the_bound_are_no_link(spark):
     for name, (a, b) in pairs.items():
         docs = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b))], "doc_id long, text string")
         assert simhash.dedup(docs).count() == (1 if name == "linked" else 2)
+
+
+def test_pipeline_stage_equals_brute_force(spark, docs, rows):
+    """Groups of the fixture by plain Python: one document of each stays, the one with the least id, nulls last."""
+    import corpus_pipeline
+
+    distinct = sorted({r.text for r in rows}, key=str)
+    group = dict(zip(distinct, brute_groups(distinct), strict=True))
+    ids = {}
+    for r in rows:
+        ids.setdefault(group[r.text], []).append(r.doc_id)
+    want = sorted(str(min((i for i in g if i is not None), default=None)) for g in ids.values())
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()) == want
