@@ -215,11 +215,13 @@ def write_samples(payload: bytes) -> bytes:
     return b"".join([*out, b"\x3b"])
 
 
-def read_samples(media: bytes) -> tuple[bytes, list[Frame]]:
-    """The payload of write_samples, and its frames without their canvases."""
+def read_samples(media: bytes, histograms: list[list[int]] | None = None) -> tuple[bytes, list[Frame]]:
+    """The payload of write_samples, and its frames without their canvases; their colour histograms are added to a list."""
     parts, shown = [], []
     for f in frames(media):
         parts.append(f.canvas[f.y : f.y + f.height, f.x : f.x + f.width, 0].tobytes())
+        if histograms is not None:
+            histograms.append(colour_histogram(f.canvas).tolist())
         f.canvas = None
         shown.append(f)
     return b"".join(parts), shown
@@ -293,9 +295,11 @@ def frame_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
     return source.mapInArrow(run, schema)
 
 
-def _feature(payload: bytes, shown: list[Frame]) -> str:
+def _feature(payload: bytes, shown: list[Frame], histograms: list[list[int]]) -> str:
+    """Frames, time and grey levels of the payload, and the filled cells (cell:pixels) of each frame's colour histogram."""
     counts = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
-    return f"frames={len(shown)};ms={sum(f.delay_ms for f in shown)};grey16={','.join(map(str, counts.tolist()))}"
+    cells = "/".join(",".join(f"{i}:{n}" for i, n in enumerate(h) if n) for h in histograms)
+    return f"frames={len(shown)};ms={sum(f.delay_ms for f in shown)};grey16={','.join(map(str, counts.tolist()))};rgb64={cells}"
 
 
 def op5(docs: DataFrame) -> DataFrame:
@@ -313,10 +317,11 @@ def op5(docs: DataFrame) -> DataFrame:
             rows = []
             for m in b.column(2):
                 media = m.as_py()
-                payload, shown = read_samples(media)
+                histograms: list[list[int]] = []
+                payload, shown = read_samples(media, histograms)
                 rows.append(
                     (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media))
-                    + (hashlib.sha256(media).hexdigest(), _feature(payload, shown))
+                    + (hashlib.sha256(media).hexdigest(), _feature(payload, shown, histograms))
                 )
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -67,3 +67,13 @@ def test_query(docs, rows, empty):
     want = sorted((str(r.doc_id), len((r.text or "").encode()), hashlib.sha256(p := gif.padded((r.text or "").encode())).hexdigest(), zlib.crc32(p[-64:])) for r in rows)
     assert sorted((str(g.doc_id), g.n_bytes, g.payload_sha256, g.tail_crc32) for g in got) == want
     assert gif.op5(empty).count() == 0 and np.all([g.payload_bytes % 64 == 0 for g in got])
+
+
+def test_feature_holds_the_frames_colour_histograms(docs):
+    some = docs.where("doc_id in (0, 204)")
+    frames = {}
+    for r in gif.frame_table(gif.store(some)).distinct().collect():
+        frames.setdefault(r.doc_id, {})[r.frame] = ",".join(f"{i}:{n}" for i, n in enumerate(r.histogram) if n)
+    for r in gif.op5(some).collect():
+        assert r.feature.split("rgb64=")[1] == "/".join(frames[r.doc_id][k] for k in sorted(frames[r.doc_id]))
+    assert len(frames[204]) > 1
