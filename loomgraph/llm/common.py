@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Rows of one Arrow batch. Texts are whole, so batches are kept short enough for Python workers.
 ARROW_ROWS = 256
+#: Bytes of one Arrow batch, for very long texts; a longer text is a batch of its own.
+ARROW_BYTES = 16 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -58,6 +62,19 @@ def short_batches(spark: SparkSession) -> None:
     ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 8192) -> Iterator[None]:
+    """Longer Arrow batches for the actions inside, whose rows are short."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def words(text: Column) -> Column:

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the least b of each a. The least comes from a partial aggregate; a hot a is split by the skew join."""
-    return pairs.join(pairs.groupBy("a").agg(F.min("b").alias("least")), "a")
+def _star(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) with the least b of each a, and the written table of the least ones, one row for each a.
+
+    Were it not written, the join would take the aggregate's partitions over and a hot a could not be split.
+    """
+    least = scratch.keep(pairs.groupBy("a").agg(F.min("b").alias("least")))
+    return pairs.join(least, "a"), least
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -25,14 +29,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
-        small = _star(large)
-        small = small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
-            large.groupBy("a").agg(F.min("b").alias("b"))
-        )
-        after = scratch.keep(small.distinct())
+        joined, least = _star(both, scratch)
+        large = joined.where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        large = scratch.keep(large)
+        small, roots = _star(large, scratch)
+        small = small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        after = scratch.keep(small.unionByName(roots.toDF("a", "b")).distinct())
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(now)
+        scratch.drop(now, least, large, roots)
         now = after
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

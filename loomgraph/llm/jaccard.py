@@ -7,36 +7,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, short_batches
+from .common import Scratch, arrow_batches, short_batches
 from .components import components
+from .substrings import Rolling, _mix
 
 #: Bytes of a sketch: counts of the shingles' hashes in as many cells.
 CELLS = 64
 #: Members of a bucket that are compared with one of them first, and members of a block in which all pairs are compared.
 FAN, CHUNK = 512, 2048
-#: Texts on which frequent shingles are sought and the count from which one is frequent; they only set the order of prefixes.
-SAMPLE, FREQUENT, MOST_FREQUENT = 10000, 5, 50000
+#: Parts of a set for each shingle of the smallest set that is cut alike.
+PARTS = 0.625
+#: Rows of the ids of wanted texts up to which they are broadcast; beyond, the texts are shuffled.
+BROADCAST_ROWS = 500_000
 _SLACK = 1e-9
+_U = np.uint64
 
 
-def shingles(text: bytes | None, n: int) -> tuple[int, np.ndarray]:
-    """The signed hash of a text's words and the sorted distinct hashes of its n-word shingles; fewer words are one shingle."""
+def shingles(text: bytes | None, n: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's n-word shingles; fewer words are one shingle, no words none.
+
+    A shingle's hash comes from sums over the hashes of its words, so each word is hashed once.
+    """
     words = (text or b"").lower().split()
-    joined = b" ".join(words)
-    whole = xxhash.xxh64_intdigest(joined, 1)
-    whole = whole - 2**64 if whole >= 2**63 else whole
     if not words:
-        return whole, np.zeros(0, np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
+        return np.zeros(0, _U)
     k = min(n, len(words))
-    starts, stops = (ends - lengths)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return whole, np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    at = np.arange(len(words) - k + 1)
+    return np.unique(Rolling(words).runs(at, at + k))
 
 
 def similar(x: np.ndarray, y: np.ndarray, bound: float) -> bool:
@@ -50,9 +50,48 @@ def prefix_length(size: int, bound: float) -> int:
     return size - math.ceil(bound * size - _SLACK) + 1 if size else 0
 
 
+def most_differences(size: int, other: int, bound: float) -> int:
+    """Members that lie in one of two sets only, at most, if the sets reach the bound."""
+    return math.floor((size + other) * (1 - bound) / (1 + bound) + _SLACK)
+
+
+def _parts(h: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes cut by value into `count` parts: of each part that isn't empty, the number of its members and a key of them."""
+    part = ((h >> _U(32)) * _U(count)) >> _U(32)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    sizes = np.diff(np.append(starts, len(h)))
+    return sizes, _mix(_mix(np.add.reduceat(_mix(h), starts)) + part[starts] * _U(0x9E3779B97F4A7C15) + _U(count))
+
+
+def keys(h: np.ndarray, bound: float) -> np.ndarray:
+    """Keys of a set of sorted hashes; any two sets that reach the bound have a key in common.
+
+    Sets are cut alike into parts by the value of their members. Members in which two sets differ spoil one part each, and
+    if fewer are spoilt than there are parts, the sets have a part in common. So they have one among the first D + 1 parts
+    of each in any common order, where D is the most differences that the bound leaves; parts of many members come first,
+    so a key stands for several shingles and a frequent shingle alone makes hardly any. The number of parts goes by
+    octaves of the size of the smaller set; a set that may be the larger one of a pair of the octave below is cut for both.
+    A set of no more parts than D has the keys of its first single members as well, as its partner then has.
+    """
+    n = len(h)
+    if not n:
+        return np.zeros(1, _U)
+    octave, out = n.bit_length() - 1, []
+    cuts = [(octave, math.floor(n / bound + _SLACK))]
+    if octave and math.floor(((1 << octave) - 1) / bound + _SLACK) >= n:
+        cuts.append((octave - 1, (1 << octave) - 1))
+    for k, partner in cuts:
+        most = most_differences(n, partner, bound)
+        sizes, found = _parts(h, math.ceil(PARTS * (1 << k)))
+        out.append(found[np.lexsort((found, -sizes))][: most + 1])
+        if len(found) <= most:
+            out.append(_mix(h[: prefix_length(n, bound)] + _U(1)))
+    return np.unique(np.concatenate(out))
+
+
 def sketch(hashes: np.ndarray, cells: int = CELLS) -> np.ndarray:
     """Counts by cell, cut at 255: two sets differ in at least as many members as their sketches do in sum."""
-    counts = np.bincount((hashes >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells)
+    counts = np.bincount((hashes >> _U(65 - cells.bit_length())).astype(np.int64), minlength=cells)
     return np.minimum(counts, 255).astype(np.uint8)
 
 
@@ -82,49 +121,22 @@ def _pairs(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _frequent(texts: DataFrame, shingle: int) -> dict[int, int]:
-    """Shingles that a sample of the texts holds often. Prefixes take them last, whichever they are; no pair hangs on them."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
+def _nodes(texts: DataFrame, shingle: int, bound: float) -> DataFrame:
+    """(text_hash, size, sketch, fine, keys): one row for each row of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            found = [shingles(t.as_py(), shingle)[1] for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
-
-    seen = texts.where(F.rand(7) < share).select("t").mapInArrow(run, "token long")
-    seen = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    return {r.token: r.n for r in seen.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()}
-
-
-def _prefixes(texts: DataFrame, shingle: int, bound: float) -> DataFrame:
-    """(text_hash, node, size, sketch, fine, prefix): rare shingles come first in a prefix."""
-    frequent = _frequent(texts, shingle)
-    order = np.array(sorted(t % 2**64 for t in frequent), np.uint64)
-    counts = np.array([frequent[t - 2**64 if t >= 2**63 else t] for t in order.tolist()], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, sizes, cells, fine, heads = [], [], [], [], []
-            for t in b.column(1):
-                node, h = shingles(t.as_py(), shingle)
-                n = np.zeros(len(h), np.int64)
-                if len(order) and len(h):
-                    at = np.minimum(np.searchsorted(order, h), len(order) - 1)
-                    n = np.where(order[at] == h, counts[at], 0)
-                nodes.append(node)
-                sizes.append(len(h))
-                cells.append(sketch(h).tobytes())
-                fine.append(sketch(h, fine_cells(len(h))).tobytes())
-                heads.append(h[np.lexsort((h, n))][: prefix_length(len(h), bound)].view(np.int64))
+            sets = [shingles(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.binary()),
-                 pa.array(fine, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-                names=["text_hash", "node", "size", "sketch", "fine", "prefix"],
+                [
+                    b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([sketch(h).tobytes() for h in sets], pa.binary()),
+                    pa.array([sketch(h, fine_cells(len(h))).tobytes() for h in sets], pa.binary()),
+                    pa.array([keys(h, bound).view(np.int64) for h in sets], pa.list_(pa.int64())),
+                ],
+                names=["text_hash", "size", "sketch", "fine", "keys"],
             )
 
-    return texts.mapInArrow(run, "text_hash long, node long, size long, sketch binary, fine binary, prefix array<long>")
+    return texts.mapInArrow(run, "text_hash long, size long, sketch binary, fine binary, keys array<long>")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, bound: float, column: str) -> DataFrame:
@@ -144,6 +156,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, bound: float, column: str) -> Data
                 yield _pairs(a[stay], b[stay])
 
     joined = pairs.join(one, "a").join(two, "b")
+    joined = joined.where(F.least("size_a", "size_b") >= F.lit(bound) * F.greatest("size_a", "size_b") - _SLACK)
     return joined.select("a", "b", F.col("size_a") + F.col("size_b"), "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -154,8 +167,11 @@ def _verified(
     pairs = scratch.keep(_near(pairs, nodes, bound, "fine"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = scratch.keep(nodes.select("node", "text_hash").join(ids, "node"))
+    hashes = wanted.select("text_hash")
+    if wanted.count() <= BROADCAST_ROWS:
+        hashes = F.broadcast(hashes)
     # copies are dropped by a partial aggregate
-    texts = texts.join(wanted.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("t").alias("t"))
+    texts = texts.join(hashes, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("t").alias("t"))
     texts = scratch.keep(wanted.join(texts, "text_hash").select("node", "t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +181,7 @@ def _verified(
             if node not in sets:
                 if len(sets) >= 256:
                     sets.clear()
-                sets[node] = shingles(text.as_py(), shingle)[1]
+                sets[node] = shingles(text.as_py(), shingle)
             return sets[node]
 
         for r in batches:
@@ -178,16 +194,24 @@ def _verified(
 
 
 def _block_pairs(bound: float):
-    """Rows (block, node, root, size, sketch) sorted by block to pairs of other roots that sketches don't rule out."""
-
-    def compared(node, root, size, cells) -> pa.RecordBatch:
-        a, b = [], []
-        for i in range(len(node) - 1):
-            rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-            rest = rest[~_far(cells[rest], cells[i], size[rest] + size[i], bound)]
-            a.append(np.minimum(node[rest], node[i]))
-            b.append(np.maximum(node[rest], node[i]))
-        return _pairs(np.concatenate(a), np.concatenate(b)) if a else _pairs((), ())
+    """Rows (block, node, root, size, sketch) sorted by block to pairs of other roots that size and sketch don't rule out."""
+
+    def compared(block, node, root, size, cells) -> pa.RecordBatch:
+        a, b, at, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(block)), 1
+        while True:  # rows are compared with the next one of their block, then with the one after it, and so on
+            at = at[at + apart < len(block)]
+            at = at[block[at] == block[at + apart]]
+            if not len(at):
+                break
+            i, j = at, at + apart
+            stay = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= bound * np.maximum(size[i], size[j]) - _SLACK)
+            i, j = i[stay], j[stay]
+            stay = ~_far(cells[i], cells[j], size[i] + size[j], bound)
+            i, j = i[stay], j[stay]
+            a.append(np.minimum(node[i], node[j]))
+            b.append(np.maximum(node[i], node[j]))
+            apart += 1
+        return _pairs(np.concatenate(a), np.concatenate(b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -197,12 +221,13 @@ def _block_pairs(bound: float):
             now = [r.column(i).to_numpy() for i in range(4)] + [_sketches(r.column(4))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cuts = [0, *(np.flatnonzero(now[0][1:] != now[0][:-1]) + 1).tolist()]
-            for x, z in zip(cuts, cuts[1:], strict=False):
-                yield compared(*(c[x:z] for c in now[1:]))
-            held = [c[cuts[-1] :] for c in now]
+            # the last block may go on in the next batch
+            cut = len(now[0]) - int(np.argmax(now[0][::-1] != now[0][-1])) if now[0][0] != now[0][-1] else 0
+            if cut:
+                yield compared(*(c[:cut] for c in now))
+            held = [c[cut:] for c in now]
         if held is not None:
-            yield compared(*held[1:])
+            yield compared(*held)
 
     return run
 
@@ -210,21 +235,19 @@ def _block_pairs(bound: float):
 def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str = "text") -> DataFrame:
     """(text_hash, root): one row for each distinct text; equal roots are texts connected by pairs that reach the bound.
 
-    Candidates share a shingle of their prefixes, which every pair that reaches the bound does, at any size of the table.
-    Each bucket's members are compared with one of them first; then all pairs of a bucket that are not connected yet, in
-    blocks of two chunks, so no task holds a bucket. Sketches drop pairs that cannot reach the bound, and the texts of the
-    others decide. Texts without words are equal to each other and to no other.
+    Candidates have a key in common, which every pair that reaches the bound has, at any size of the table. Each bucket's
+    members are compared with one of them first; then all pairs of a bucket that are not connected yet, in blocks of two
+    chunks, so no task holds a bucket. Sketches drop pairs that cannot reach the bound, and the texts of the others
+    decide. Texts without words are equal to each other and to no other.
     """
     spark = docs.sparkSession
     short_batches(spark)
     scratch = Scratch(spark, "jaccard")
     text = F.col(text_col)
     texts = docs.select(F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("t"))
-    rows = scratch.keep(_prefixes(texts, shingle, bound))
-    nodes = rows.groupBy("node").agg(F.min(F.struct("text_hash", "size", "sketch", "fine", "prefix")).alias("x")).select("node", "x.*")
-    nodes, named_texts = scratch.keep(nodes), scratch.keep(rows.select("text_hash", "node").distinct())
-    scratch.drop(rows)
-    at = nodes.select("node", F.explode("prefix").alias("token"))
+    once = _nodes(texts, shingle, bound).groupBy("text_hash").agg(F.first(F.struct("size", "sketch", "fine", "keys")).alias("x"))
+    nodes = scratch.keep(once.select(F.monotonically_increasing_id().alias("node"), "text_hash", "x.*"))
+    at = nodes.select("node", F.explode("keys").alias("token"))
     shared = at.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.keep(at.join(shared, "token"))
 
@@ -233,12 +256,14 @@ def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str
     parts = members.select("token", "node", dealt.alias("part"))
     first = parts.groupBy("token", "part").agg(F.min("node").alias("a"))
     begun = parts.join(first, ["token", "part"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    begun = scratch.keep(_near(begun, nodes, bound, "sketch"))
+    with arrow_batches(spark):
+        begun = scratch.keep(_near(begun, nodes, bound, "sketch"))
     found = scratch.keep(_verified(begun, nodes, texts, scratch, shingle, bound))
     roots = scratch.keep(components(found, scratch))
 
     rooted = nodes.join(roots, "node", "left").select("node", "size", "sketch", F.coalesce("root", "node").alias("root"))
     named = scratch.keep(members.join(rooted.select("node", "root"), "node"))
+    scratch.drop(members)
     split = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     left = named.join(split.select("token"), "token").select("token", "n", "node")
     left = left.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
@@ -248,7 +273,9 @@ def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str
     )
     blocks = blocks.join(rooted, "node").select("block", "node", "root", "size", "sketch")
     rest = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_block_pairs(bound), "a long, b long")
-    rest = scratch.keep(rest.distinct().join(begun, ["a", "b"], "left_anti"))
+    with arrow_batches(spark):
+        rest = scratch.keep(rest.distinct().join(begun, ["a", "b"], "left_anti"))
+    scratch.drop(named)
     more = scratch.keep(_verified(rest, nodes, texts, scratch, shingle, bound))
     roots = components(found.unionByName(more), scratch)
-    return named_texts.join(roots, "node", "left").select("text_hash", F.coalesce("root", "node").alias("root"))
+    return nodes.select("node", "text_hash").join(roots, "node", "left").select("text_hash", F.coalesce("root", "node").alias("root"))

@@ -53,7 +53,7 @@ def test_groups_equal_brute_force_at_any_chunk(spark, monkeypatch):
     for fan, chunk in ((512, 2048), (3, 8)):
         monkeypatch.setattr(jaccard, "FAN", fan)
         monkeypatch.setattr(jaccard, "CHUNK", chunk)
-        monkeypatch.setattr(jaccard, "FREQUENT", fan)
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", fan)
         got = simhash.near_duplicates(docs, 5, 4, 1, 0.8).collect()
         assert partition([r.root for r in got], [r.doc_id for r in got]) == want
         assert all(r.component_id == min(g) for r in got for g in want if r.doc_id in g)
@@ -80,6 +80,32 @@ def test_bounds_lose_no_pair():
             assert jaccard._fine_near(*fine, len(a) + len(b), 0.8)
 
 
+def test_pairs_at_the_bound_have_a_key_in_common():
+    """Sets of all sizes, of exactly as many differences as the bound leaves, on one side, on both, across octaves of size."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    for n in [*range(1, 80), *range(80, 1100, 17)]:
+        for _ in range(4):
+            common = rnd.integers(0, 2**64, n, np.uint64)
+            apart = int(n / 4)  # 0.8 of the union is common
+            mine = int(rnd.integers(0, apart + 1))
+            more = rnd.integers(0, 2**64, apart, np.uint64)
+            a, b = np.unique(np.concatenate([common, more[:mine]])), np.unique(np.concatenate([common, more[mine:]]))
+            assert jaccard.similar(a, b, 0.8)
+            assert set(jaccard.keys(a, 0.8).tolist()) & set(jaccard.keys(b, 0.8).tolist())
+
+
+def test_a_link_does_not_hang_on_other_documents(spark):
+    words = [f"t{i}" for i in range(50)]
+    pair = [(0, " ".join(words)), (1, " ".join(["x", *words[1:]]))]
+    rnd = random.Random(4)
+    others = [(10 + k, " ".join([*words[:5], *(f"o{rnd.randrange(10**6)}" for _ in range(60))])) for k in range(400)]
+    for rows in (pair, pair + others):
+        kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert kept.count() == len(rows) - 1
+
+
 def test_texts_below_the_bound_are_no_link(spark):
     """One changed word in 50 leaves 41 of 51 shingles (0.804); two apart leave 36 of 56 (0.64) and stay two documents."""
     words = [f"t{i}" for i in range(50)]
