@@ -1,4 +1,4 @@
-"""Making the package known to Python workers, wherever they run."""
+"""What a session needs: the package on the workers, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -21,3 +21,31 @@ def ship_package(spark: SparkSession | None = None) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
     spark.sparkContext._loomgraph_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset, as in tests, a local master gets a temporary one."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        held = context._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else None
+    if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="loomgraph-")
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Make a folder that goes when the driver ends."""
+    p, fs = file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
