@@ -34,8 +34,29 @@ def test_stage_keeps_columns_that_clash(clashing):
     assert out.columns == clashing.columns and out.select("kept").distinct().collect()[0][0] == "kept"
 
 
-def test_cascade_order_is_by_rejections(docs):
+def test_cascade_order_is_by_rejections_per_cost(docs):
     from pyspark.sql import functions as F
 
-    never, always = q.Rule("never", F.lit(False)), q.Rule("always", F.col("n_words") >= 0)
-    assert [r.name for r in q.plan_cascade(docs, [never, always])] == ["always", "never"]
+    never, always = q.Rule("never", lambda m: F.lit(False), 1), q.Rule("always", lambda m: m.n_words >= 0, 4)
+    half = q.Rule("half", lambda m: m.n_words % 2 == 0, 1)
+    assert [r.name for r in q.plan_cascade(docs, [never, always, half])] == ["half", "always", "never"]
+    assert [r.name for r in q.plan_cascade(docs.where("false"), [never, always])] == ["never", "always"]
+
+
+def test_stage_equals_brute_force(docs, rows):
+    """Rules beside the base ones are left out, so that plain Python gives the whole verdict."""
+    kept = sorted(str(r.text) for r in q.keep_good(docs, []).collect())
+    assert kept == sorted(str(r.text) for r in rows if not brute(r.text)[-1])
+    assert 0 < len(kept) < len(rows)
+
+
+def test_cascade_stops_at_the_first_rejection(spark):
+    """A rule that would fail the job is never evaluated on a document that an earlier rule has rejected."""
+    from pyspark.sql import functions as F
+
+    rows = [("few words",), ("w " * 3 + "more different words in this text so that it has enough of them to be let through by rule one",)]
+    docs = spark.createDataFrame(rows, "text string")
+    first = q.Rule("first", lambda m: m.n_words < 20, 0.01)
+    breaks = q.Rule("breaks", lambda m: F.when(m.n_words < 20, F.raise_error(F.lit("evaluated"))).otherwise(F.lit(False)), 9)
+    verdict = q._let(q.words(F.col("text")), lambda w: q.cascade([first, breaks], q.lazy(q._text(), w)))
+    assert [r[0] for r in docs.select(verdict).collect()] == ["first", None]
