@@ -17,8 +17,8 @@ HEX = r"[0-9a-f]{24,}"
 #: Tokens that the frequency method looks at beside the base spans.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "live")
-#: A value of this many owners or more is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: A value of this many owners is a widely copied example, and so is one of two owners in this many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 5
 MASK = "[SECRET]"
 
 
@@ -90,17 +90,21 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, base, all, n_live, n_example): base spans, all spans, and how many values look live or copied.
 
-    A value under EXAMPLE_OWNERS distinct owners or more is an example; one of fewer owners looks live. Tokens that look
-    live are added to the base spans; base spans stay whatever the verdict. A null text is empty, null owners and
-    repositories count as one owner or repository, repeated rows give equal rows, an empty table gives none.
+    A value of EXAMPLE_OWNERS distinct owners or more is an example, and so is one that two owners hold in
+    EXAMPLE_REPOSITORIES distinct repositories or more; any other looks live, so one owner's value does however many of
+    their repositories hold it. Tokens that look live are added to the base spans; base spans stay whatever the verdict. A
+    null text is empty, null owners and repositories count as one owner or repository, repeated rows give equal rows, a
+    text of any length is searched as a whole, an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     found = scratch.keep(base(docs, id_col, text_col, owner, repository).withColumn("row", F.monotonically_increasing_id()))
     some = (F.size("spans") > 0) | (F.size("others") > 0)
-    counts = ownership(found.where(some))
+    # written, so that the join can split a value of many documents
+    counts = scratch.keep(ownership(found.where(some)))
     each = found.where(some).select("row", F.explode(F.concat("spans", "others")).alias("s"))
     judged = each.withColumn("digest", F.xxhash64("s.value")).join(counts, "digest")
-    live = F.col("owners") < EXAMPLE_OWNERS
+    owners, repositories = F.col("owners"), F.col("repositories")
+    live = (owners < 2) | ((owners < EXAMPLE_OWNERS) & (repositories < EXAMPLE_REPOSITORIES))
     verdict = judged.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when((F.col("s.kind") == 3) & live, F.col("s")))).alias("added"),
         F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example"),

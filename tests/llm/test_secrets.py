@@ -37,3 +37,27 @@ def test_redaction(docs, clashing, empty):
     assert out[200].text is None and out[209].text.startswith("see Ex4mple")
     assert q.redact(docs).count() == docs.count() and q.redact(clashing).columns == clashing.columns
     assert q.redact(empty).count() == 0
+
+
+def test_verdict_follows_owners_and_repositories_in_bulk(spark):
+    """600 tokens over 1 to 4 owners with 1 to 4 repositories each, against plain Python counts."""
+    import random
+
+    rnd, rows, held = random.Random(8), [], {}
+    for k in range(600):
+        token = f"Tk{k:04d}" + "".join(rnd.choice("ABCdef123") for _ in range(24))
+        for owner in rnd.sample(["o1", "o2", "o3", "o4"], rnd.randint(1, 4)):
+            for lang in rnd.sample(["en", "de", "fr", "es"], rnd.randint(1, 4)):
+                for _ in range(rnd.randint(1, 2)):
+                    rows.append((len(rows), f"key {token} end", lang, owner, 1))
+                    held.setdefault(token, set()).add((owner, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {g.doc_id: g for g in q.op6(docs).collect()}
+    verdicts = set()
+    for i, text, *_ in rows:
+        token = text.split()[1]
+        owners = len({o for o, _ in held[token]})
+        live = owners == 1 or (owners == 2 and len(held[token]) < 5)
+        verdicts.add((owners, live))
+        assert got[i].spans == (f"live:4:{4 + len(token)}" if live else "") and got[i].n_live == int(live) and got[i].n_example == int(not live)
+    assert verdicts == {(1, True), (2, True), (2, False), (3, False), (4, False)}
