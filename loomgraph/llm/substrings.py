@@ -172,8 +172,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     """(doc_id, hash, span): ranges of starts (first << 32 | last) of windows that start anywhere else too.
 
     Level one counts anchors of a quarter of the length. Around those that repeat, equal contexts settle all their
-    windows at once and stand for one another from then on. What differs goes on to runs of half the length, and what
-    repeats there to whole windows, compared by 128-bit hashes. Counts pre-aggregate before each shuffle, and joins on a
+    windows at once and stand for one another from then on: a context is all the words that any window around the anchor
+    holds, so it is longer than a window, and where it is equal every longer length is equal as well; doubling it again
+    could not tell its places apart. What differs goes on to runs of half the length, and what repeats there to whole
+    windows, compared by 128-bit hashes. Counts pre-aggregate before each shuffle, and joins on a
     hot anchor can be split, since the other side is a written table with one row for each.
     """
     found = scratch.keep(_found(docs, length))
@@ -212,15 +214,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): texts without the words of windows of `length` words that start anywhere else.
 
-    A null, empty or blank text has no words and keeps none, a text shorter than a window keeps all. Repeated rows repeat
-    one another, so their windows go. Null ids are an id like any other; an empty table gives no rows.
+    A null, empty or blank text has no words and keeps none, a text shorter than a window keeps all, and a text of any
+    length is read as a whole. Repeated rows repeat one another, so their windows go. Null ids are an id like any other; an empty table gives no rows.
     """
     spark = docs.sparkSession
     short_batches(spark)
     scratch = Scratch(spark, "substrings")
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_spans(keyed, scratch, length)
-    marks = spans.groupBy("doc_id", "hash").agg(F.collect_list("span").alias("spans"))
+    # repeated rows have equal spans; each is held once for all of them
+    marks = spans.distinct().groupBy("doc_id", "hash").agg(F.collect_list("span").alias("spans"))
     marks, on = _same(marks, ("doc_id", "hash"))
     held = _packed(keyed).join(marks, on, "left").select("doc_id", "z", "spans")
     schema = T.StructType([keyed.schema["doc_id"], *_long("n_words", "n_removed"), T.StructField("kept", T.BinaryType())])
