@@ -73,14 +73,16 @@ class Model:
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Exact cosines with all labelled vectors, one block; the nearest vote with their similarity as weight.
 
-        Ties at the last place go either way; without a positive similarity the score is the share of label 1.
+        Cosines count to five decimals. Of equal ones at the last place those of the least ids vote; without a positive
+        similarity the score is the share of label 1.
         """
-        cosine = self.embed(rows) @ self.vectors.T
+        cosine = np.round(self.embed(rows) @ self.vectors.T, 5)
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64)
-        total = weight.sum(axis=1)
-        vote = (weight * self.labels[near]).sum(axis=1)
+        last = np.partition(cosine, -k, axis=1)[:, -k, None]
+        above, tied = cosine > last, cosine == last
+        tied &= np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)
+        weight = np.where(above | tied, np.maximum(cosine, 0), 0).astype(np.float64)
+        total, vote = weight.sum(axis=1), weight @ self.labels
         return np.clip(np.where(total > 0, vote / np.maximum(total, 1e-12), self.labels.mean()), 0.0, 1.0)
 
 
@@ -118,13 +120,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mode
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on at most `rows` labelled documents whose id isn't held out. None if there is no such row.
 
-    Null labels and labels of unknown documents are left out; of the rest, the rows with the least id hash are taken.
+    Null labels and labels of unknown documents are left out; of the rest, the ids with the least hash are taken. An id
+    counts once: of repeated labels the least, of repeated documents the least text.
     """
     short_batches(docs.sparkSession)
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).select("doc_id", "quality")
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("t")).join(F.broadcast(chosen), "doc_id")
-    texts = texts.select("doc_id", "t", "quality")
+    texts = texts.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("quality").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,6 +170,9 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score and prediction for every document; null and empty texts are scored by their form alone."""
+    """Score and prediction for every document, repeated rows included; null and empty texts are scored by their form alone.
+
+    A text of any length is read as a whole; other columns than doc_id and text are not looked at.
+    """
     out = score(docs, fit(docs, labels)).withColumn("held_out", is_held_out())
     return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
