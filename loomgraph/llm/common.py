@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import ship_package
+from loomgraph.session import delete_on_exit, ship_package, shared_folder
 
 #: A word is a run of anything but the six ASCII blanks; bytes.split() without arguments cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,23 +20,12 @@ ARROW_ROWS = 256
 ARROW_BYTES = 16 << 20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
 class Scratch:
-    """Tables written to the shared folder to cut lineage; they outlive any executor."""
+    """Tables written to the shared folder to cut lineage; they outlive any executor and go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{scratch_root(spark).rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base = spark, f"{shared_folder(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+        delete_on_exit(spark, self.base)
         self.count = 0
 
     def keep(self, df: DataFrame) -> DataFrame:

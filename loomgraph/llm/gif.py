@@ -19,6 +19,8 @@ from .common import short_batches
 #: Codes have at most 12 bits (GIF89a), so a table has at most 4096 entries.
 TOP = 4096
 WIDTH, FRAME_ROWS, DELAY_CS = 64, 1024, 10
+#: Pixels of a canvas or frame up to which a file is decoded; its header may claim any.
+MOST_PIXELS = 1 << 26
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -141,6 +143,8 @@ def frames(data: bytes) -> Iterator[Frame]:
         n = 2 << (packed & 7)
         shared = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(-1, 3)
         at += 3 * n
+    if high * wide > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     canvas = np.zeros((high, wide, 4), np.uint8)
     delay = disposal = 0
     clear = None
@@ -174,6 +178,8 @@ def frames(data: bytes) -> Iterator[Frame]:
                 raise ValueError("no palette")
             size = data[at]
             stream, at = blocks(at + 1)
+            if w * h > MOST_PIXELS:
+                raise ValueError("the frame is too large")
             index = np.frombuffer(lzw_decode(stream, size, w * h), np.uint8)
             if len(index) < w * h:
                 raise ValueError("too few pixels")

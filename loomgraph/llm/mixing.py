@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .common import Scratch, n_words
 
 #: A document is repeated at most this many times.
 MOST = 3
+#: Words of one part of a shard, about 100 MB of text; a part is sorted by one task.
+PART_WORDS = 16_000_000
 #: Depth of the splitting tree: 2**DEPTH output shards.
 DEPTH = 4
 
@@ -164,10 +168,19 @@ def op4(docs: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, parts: int = 16) -> DataFrame:
-    """The mixed rows, with the columns of docs: a row for each copy, dealt to shards and shuffled within each part."""
+def parts_for(words: float, shards: int) -> int:
+    """Parts of a shard, so that one holds about PART_WORDS words at any size of the table."""
+    return max(1, math.ceil(words / shards / PART_WORDS))
+
+
+def mix(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """The mixed rows, with the columns of docs: a row for each copy, dealt to shards and shuffled within each part.
+
+    The number of parts of a shard follows from the words that the mix takes, unless given.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
     found = decisions(scratch.keep(sized(docs)), scratch)
+    parts = parts or parts_for(found.agg(F.sum("target")).first()[0] or 0, 2**DEPTH)
     text = F.coalesce(F.col("text"), F.lit(""))
     id_text = F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)
     hidden = docs.select(F.struct(*docs.columns).alias("row"), F.col("source"), F.substring(F.md5(id_text), 1, 16).alias("key"))

@@ -48,3 +48,8 @@ def test_split_tree_halves_are_exact(spark):
     slots = spark.createDataFrame([(s, f"{b:02x}", 1) for s, n in (("a", 40), ("b", 24)) for b in range(n)], "source string, block string, copy int")
     got = q.split_tree(slots, 3).collect()
     assert set(Counter(r.shard for r in got).values()) == {8}
+
+
+def test_parts_follow_the_words():
+    assert q.parts_for(0, 16) == q.parts_for(1000, 16) == 1
+    assert q.parts_for(16 * 16_000_000 * 400, 16) == 400
