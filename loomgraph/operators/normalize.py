@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomgraph.functions.clean import first_present, normal_time, raw_time, url_info
 from loomgraph.functions.rules import action_service, action_verb, native_relation, node_label, reference_service, resolved_id
@@ -43,28 +42,43 @@ class PropertyGraph:
     nodes: DataFrame
     edges: DataFrame
     records: DataFrame | None = None
+    #: The same graph with numbered edges, once a query has asked for it.
+    numbered: PropertyGraph | None = field(default=None, repr=False, compare=False)
 
     def summary(self) -> DataFrame:
         """node_count, edge_count and skipped_records, one row."""
         n = self.nodes.agg(F.count(F.lit(1)).alias("node_count"))
         e = self.edges.agg(F.count(F.lit(1)).alias("edge_count"))
-        s = self.records.agg(F.count_if("skipped").alias("skipped_records"))
+        count = F.col("n") if "n" in self.records.columns else F.lit(1)
+        s = self.records.agg(F.coalesce(F.sum(F.when(F.col("skipped"), count)), F.lit(0)).cast("long").alias("skipped_records"))
         return n.crossJoin(e).crossJoin(s)  # three single rows
 
     def inject_edges(self, more: DataFrame) -> PropertyGraph:
         """The graph with edges of relations that no record makes, such as RESOLVES; missing columns become null."""
+        if "edge_uid" in self.edges.columns and "edge_uid" not in more.columns:
+            more = more.withColumn("edge_uid", -1 - F.monotonically_increasing_id())
         return PropertyGraph(self.nodes, self.edges.unionByName(more, allowMissingColumns=True), self.records)
 
 
 def with_ordinal(rows: DataFrame, *order: Column | str) -> DataFrame:
     """rows with their 0-based place in the given order, as unknown ids and edge numbers need it.
 
-    Rows are range-partitioned, numbered in each partition and shifted by the counts before it: no task gets all rows.
+    Rows are range-partitioned, numbered in each partition and written; then the counts of the partitions before are added,
+    one small row each. No task gets all rows, and no row leaves the JVM.
     """
+    from loomgraph.operators.store import scratch_path
+
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    schema = T.StructType([*rows.schema.fields, T.StructField(ORDINAL, T.LongType())])
-    return rows.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "ordered")
+    numbered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(ORDINAL, F.monotonically_increasing_id())
+    numbered.write.mode("overwrite").parquet(path)
+    held = spark.read.schema(numbered.schema).parquet(path)
+    part, place = F.shiftright(ORDINAL, 33), F.col(ORDINAL).bitwiseAND(F.lit(2**33 - 1))
+    counts = held.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))  # one row for each partition
+    out = held.join(F.broadcast(starts), part == F.col("__part"))
+    return out.select(*rows.columns, (F.col("__start") + place).alias(ORDINAL))
 
 
 def parse_records(rows: DataFrame, prefer_aggregated: bool = True) -> DataFrame:

@@ -21,7 +21,7 @@ raw({_COLS}) AS (
   UNION ALL SELECT icid, 'IssueComment', oid, kind, 'EventAction', 'IssueComment_CommentedOnIssue_' || kind, tm, '', '' FROM itm
   UNION ALL SELECT icid, 'IssueComment', sup, 'Actor', 'EventAction', 'IssueComment_OpenedBy_Actor', tm, '', '' FROM itm
   UNION ALL SELECT oid, kind, url, 'ExternalResource', 'Reference', '', tm, 'GitHub_Service_External_Links', url
-            FROM itm JOIN pages ON page_id = l_partkey % 50
+            FROM itm JOIN pages ON page_id = l_partkey % (SELECT count(*) FROM pages)
   UNION ALL SELECT icid, 'IssueComment', sup, 'Actor', 'Reference', '', tm, 'Actor', '' FROM itm
   UNION ALL SELECT oid, kind, 'C_' || nk || '@' || md5(CAST(l_partkey AS VARCHAR)), 'Commit', 'Reference', '', tm, 'SHA', ''
             FROM itm WHERE l_quantity < 10

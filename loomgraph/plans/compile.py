@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.normalize import ORDINAL, PropertyGraph
+from loomgraph.operators.store import identified
 from loomgraph.plans.syntax import (
     Alias,
     Call,
@@ -147,8 +148,7 @@ class Compiler:
         if e.source == e.target:
             edges = edges.where("source_node_uid = target_node_uid")
         skip = {"source_node_uid", "target_node_uid", "src_label", "src_entity_id", "dst_label", "dst_entity_id", "edge_uid"}
-        uid = F.col("edge_uid") if "edge_uid" in edges.columns else F.xxhash64(*[c for c in edges.columns if c != "aux"])
-        out = [uid.alias(f"{e.alias}__uid"), *[F.col(c).alias(f"{e.alias}__{c}") for c in edges.columns if c not in skip | {ORDINAL}]]
+        out = [F.col("edge_uid").alias(f"{e.alias}__uid"), *[F.col(c).alias(f"{e.alias}__{c}") for c in edges.columns if c not in skip | {ORDINAL}]]
         for node, side, key in ((e.source, "src", "source_node_uid"), (e.target, "dst", "target_node_uid"))[: 1 + (e.source != e.target)]:
             columns = (key, f"{side}_label", f"{side}_entity_id")
             out += [F.col(c).alias(f"{node}__{n}") for c, n in zip(columns, NODE_COLUMNS, strict=True)]
@@ -262,5 +262,8 @@ class Compiler:
 
 
 def run_query(graph: PropertyGraph, text: str | Query, params: dict[str, Any] | None = None) -> DataFrame:
-    """Parse, bind and compile a query; the result is an ordinary lazy DataFrame."""
-    return Compiler(graph, parse(text) if isinstance(text, str) else text, params or {}).run()
+    """Parse, bind and compile a query; the result is an ordinary lazy DataFrame.
+
+    Edges are told apart by edge_uid; a graph without it is numbered and written first, once.
+    """
+    return Compiler(identified(graph), parse(text) if isinstance(text, str) else text, params or {}).run()
