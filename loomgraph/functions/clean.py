@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ast
 import json
+import math
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,14 +21,15 @@ def col(c: Column | str) -> Column:
 
 def is_missing(c: Column | str) -> Column:
     """Null, blank, or one of nan, none, null in any case."""
-    t = F.lower(F.trim(col(c)))
-    return t.isNull() | t.isin("", *MISSING)
+    t = F.trim(col(c))
+    # the length settles nearly all values before they are lower-cased
+    return col(c).isNull() | ((F.length(t) <= max(map(len, MISSING))) & F.lower(t).isin("", *MISSING))
 
 
 def is_placeholder(c: Column | str) -> Column:
     """An entity id that names nothing; a wider set than is_missing."""
-    t = F.lower(F.trim(col(c)))
-    return t.isNull() | t.isin(*PLACEHOLDERS)
+    t = F.trim(col(c))
+    return col(c).isNull() | ((F.length(t) <= max(map(len, PLACEHOLDERS))) & F.lower(t).isin(*PLACEHOLDERS))
 
 
 def first_present(*columns: Column | str) -> Column:
@@ -75,9 +77,9 @@ def upper_snake(c: Column | str) -> Column:
 
 
 def verb_from_label(c: Column | str) -> Column:
-    """The middle of <Source>_<Verb>_<Target>; empty with fewer than three parts."""
-    parts = F.filter(F.split(F.trim(col(c)), "_"), lambda x: x != "")
-    return F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 2), "_")).otherwise(F.lit(""))
+    """The middle of <Source>_<Verb>_<Target>; empty with fewer than three parts. Empty parts don't count."""
+    middle = F.regexp_extract(F.trim(F.coalesce(col(c), F.lit(""))), r"(?s)^_*[^_]+_+([^_].*?)_+[^_]+_*$", 1)
+    return F.when(middle.contains("__"), F.regexp_replace(middle, "_+", "_")).otherwise(middle)
 
 
 def first_url(*columns: Column | str, trimmed: bool = False) -> Column:
@@ -108,9 +110,13 @@ def is_code_host(host: Column | str) -> Column:
 def url_info(text: Column | str) -> Column:
     """struct(url_raw, url_host, url_domain_etld1, url_is_github) of the first URL of a text."""
     url = first_url(text, trimmed=True)
-    host = url_host(url)
+    return url_parts(url, url_host(url))
+
+
+def url_parts(url: Column | str, host: Column | str) -> Column:
+    """The struct of url_info for a URL and a host that are there already."""
     return F.struct(
-        url.alias("url_raw"), host.alias("url_host"), url_domain(host).alias("url_domain_etld1"), is_code_host(host).alias("url_is_github")
+        col(url).alias("url_raw"), col(host).alias("url_host"), url_domain(host).alias("url_domain_etld1"), is_code_host(host).alias("url_is_github")
     )
 
 
@@ -190,35 +196,83 @@ def _python_literal(text: str | None) -> str | None:
         return None
     for parse in (json.loads, ast.literal_eval):
         try:
-            return json.dumps(parse(t), ensure_ascii=False, default=str)
+            return json.dumps(parse(t), ensure_ascii=False, default=lambda v: sorted(v, key=str) if isinstance(v, (set, frozenset)) else str(v))
         except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
             continue
     return None
 
 
+def _deep(value):
+    """A value with objects, lists and numbers that are written as text read out, at every depth."""
+    if isinstance(value, str):
+        read = _python_literal(value)
+        if read is not None:
+            return _deep(json.loads(read))
+        t = value.strip()
+        if re.fullmatch(r"-?\d+", t):
+            return int(t)
+        try:
+            number = float(t)
+        except ValueError:
+            return value
+        return number if math.isfinite(number) else value
+    if isinstance(value, dict):
+        return {str(k): _deep(v) for k, v in value.items()}
+    return [_deep(v) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(T.StringType())
+def deep_json(texts):
+    """JSON of a text after deep reading: objects, lists and numbers within texts, at every depth; null stays null."""
+    return texts.map(lambda t: None if t is None else json.dumps(_deep(t), ensure_ascii=False, separators=(",", ":")))
+
+
 @F.pandas_udf(T.StringType())
 def python_literal_json(texts):
     """JSON text of an object or list written as JSON or as a Python literal; evaluates nothing."""
     return texts.map(_python_literal)
 
 
-def object_map(c: Column | str) -> Column:
-    """map<string,string> of an object written as JSON or as a Python literal.
+_OBJECT = "map<string,string>"
+
 
-    Quotes are swapped and the Python words replaced on the JVM; only what still fails goes to the Arrow UDF.
+def quick_object_map(c: Column | str) -> Column:
+    """map<string,string> of an object written as JSON, or as a Python literal that JSON with other quotes and words can say.
+
+    Null for anything else. The first quote tells which of the two is tried first.
     """
-    kind = "map<string,string>"
     t = F.trim(col(c))
     words = t
     for word, other in (("None", "null"), ("True", "true"), ("False", "false")):
-        words = F.regexp_replace(words, rf"(?<=[:,\[]\s?){word}(?=\s*[,}}\]])", other)
-    return F.coalesce(
-        F.from_json(t, kind, {"allowSingleQuotes": "false"}), F.from_json(words, kind), F.create_map().cast(kind)
-    )
+        # the word comes first in the pattern, so that the search stops only where it stands
+        pattern = rf"{word}(?<=[:,\[]\s?{word})(?=\s*[,}}\]])"
+        words = F.when(t.contains(word), F.regexp_replace(words, pattern, other)).otherwise(words)
+    strict = F.from_json(t, _OBJECT, {"allowSingleQuotes": "false"})
+    return F.coalesce(F.when(t.rlike(r'^\{\s*"'), strict), F.when(t.startswith("{"), F.from_json(words, _OBJECT)))
 
 
-def object_map_slow(c: Column | str) -> Column:
-    """As object_map, with any Python literal allowed."""
+def literal_object_map(c: Column | str) -> Column:
+    """map<string,string> of an object written as any Python literal, by an Arrow UDF that evaluates nothing."""
     ship_package()
-    kind = "map<string,string>"
-    return F.coalesce(F.from_json(python_literal_json(F.trim(col(c))), kind), F.create_map().cast(kind))
+    return F.from_json(python_literal_json(F.trim(col(c))), _OBJECT)
+
+
+def object_map(c: Column | str) -> Column:
+    """map<string,string> of an object written as JSON or as a Python literal, empty for anything else.
+
+    The JVM reads nearly all; only texts on which it fails, such as tuples, sets and escaped quotes, go to the Arrow UDF.
+    """
+    quick = quick_object_map(c)
+    return F.coalesce(quick, literal_object_map(_left(quick, col(c))), F.create_map().cast(_OBJECT))
+
+
+def _left(quick: Column, text: Column) -> Column:
+    return F.when(quick.isNull() & F.trim(text).startswith("{"), text)
+
+
+def with_object_map(rows: DataFrame, c: Column, name: str) -> DataFrame:
+    """rows with object_map(c) as a column; each text is read once."""
+    staged = rows.select("*", c.alias("__text"), quick_object_map(c).alias("__quick"))
+    slow = literal_object_map(_left(F.col("__quick"), F.col("__text")))
+    found = F.coalesce(F.col("__quick"), slow, F.create_map().cast(_OBJECT))
+    return staged.select(*rows.columns, found.alias(name))

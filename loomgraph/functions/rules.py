@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomgraph.functions.clean import col, first_url, is_missing, is_placeholder, safe_text, upper_snake, verb_from_label
+from loomgraph.functions.clean import col, first_url, is_missing, is_placeholder, safe_text, verb_from_label
 from loomgraph.vocabulary import (
     AMBIGUOUS_PATTERNS,
     DEFAULT_LABELS,
@@ -58,13 +60,14 @@ def action_verb(label: Column | str, trigger: Column | str) -> Column:
 
 def action_service(verb: Column | str) -> Column:
     """The service relation of a known verb; empty for others, which don't fall back to the trigger."""
-    return F.when(col(verb).isin(*VERBS), upper_snake(col(verb))).otherwise(F.lit(""))
+    snake = lambda v: re.sub("([a-z0-9])([A-Z])", r"\1_\2", v).upper()
+    return F.coalesce(lookup({v: snake(v) for v in VERBS}, col(verb)), F.lit(""))
 
 
-def keyword_relation(text: Column | str) -> Column:
-    """The older vocabulary: the first rule of which a keyword occurs in the text."""
-    t, out = F.lower(F.coalesce(col(text), F.lit(""))), F.lit(KEYWORD_FALLBACK)
-    for keys, name in reversed(KEYWORD_RELATIONS):
+def keyword_relation(text: Column | str, rules=KEYWORD_RELATIONS, fallback: str = KEYWORD_FALLBACK) -> Column:
+    """The older vocabulary: the first rule of which a keyword occurs in the text. rules are (keywords, name) in order."""
+    t, out = F.lower(F.coalesce(col(text), F.lit(""))), F.lit(fallback)
+    for keys, name in reversed(rules):
         hit = t.contains(keys[0])
         for k in keys[1:]:
             hit = hit | t.contains(k)
@@ -95,6 +98,24 @@ def node_type(raw: Column | str, source: Column | str) -> Column:
     )
 
 
+def row_type(raw: Column | str, pattern: Column | str, text: Column | str) -> Column:
+    """The type of a row's entity: native types stay, links and other services are external, all else is unknown."""
+    t, p = safe_text(raw), F.trim(F.coalesce(col(pattern), F.lit("")))
+    outside = _external(p, col(text)) | p.isin(*EXTERNAL_TYPES)
+    return F.when(t.isin(*NATIVE_TYPES), t).when(outside, "ExternalResource").otherwise("UnknownObject")
+
+
+def pilot_failure(text: Column | str, reason: Column | str, codes: Column) -> Column:
+    """What a generated query failed at: nothing generated, by the reason given; text that doesn't parse; or the schema."""
+    broken = ("EMPTY_QUERY", "MISSING_MATCH", "MISSING_RETURN", "UNBALANCED_PARENTHESES", "UNBALANCED_BRACKETS")
+    why = F.coalesce(col(reason), F.lit(""))
+    empty = F.when(why.contains("template"), "missing_template").when(why.contains("slot"), "missing_slot").otherwise("abstain_or_empty")
+    return (
+        F.when(F.trim(F.coalesce(col(text), F.lit(""))) == "", empty).when(F.size(codes) == 0, F.lit(None))
+        .when(F.arrays_overlap(codes, F.array(*[F.lit(c) for c in broken])), "parse_error").otherwise("schema_mismatch")
+    )
+
+
 def _three(names: tuple[str, str, str], *values: str) -> Column:
     return F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values, strict=True)])
 

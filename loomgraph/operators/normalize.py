@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.clean import first_present, normal_time, raw_time, url_info
+from loomgraph.functions.clean import first_present, first_url, normal_time, raw_time, url_host, url_parts
 from loomgraph.functions.rules import action_service, action_verb, native_relation, node_label, reference_service, resolved_id
 from loomgraph.vocabulary import DEFAULT_LABELS
 
@@ -49,10 +49,13 @@ class PropertyGraph:
         """node_count, edge_count and skipped_records, one row."""
         n = self.nodes.agg(F.count(F.lit(1)).alias("node_count"))
         e = self.edges.agg(F.count(F.lit(1)).alias("edge_count"))
-        count = F.col("n") if "n" in self.records.columns else F.lit(1)
-        s = self.records.agg(F.coalesce(F.sum(F.when(F.col("skipped"), count)), F.lit(0)).cast("long").alias("skipped_records"))
+        s = self.records.agg(F.coalesce(F.sum(F.when(F.col("skipped"), self.rows_of_record())), F.lit(0)).cast("long").alias("skipped_records"))
         return n.crossJoin(e).crossJoin(s)  # three single rows
 
+    def rows_of_record(self) -> Column:
+        """How many rows a row of records stands for: one, or the count of a stored graph."""
+        return F.col("n") if "n" in self.records.columns else F.lit(1)
+
     def inject_edges(self, more: DataFrame) -> PropertyGraph:
         """The graph with edges of relations that no record makes, such as RESOLVES; missing columns become null."""
         if "edge_uid" in self.edges.columns and "edge_uid" not in more.columns:
@@ -97,15 +100,24 @@ def parse_records(rows: DataFrame, prefer_aggregated: bool = True) -> DataFrame:
     return rows.select(ordinal.alias(ORDINAL), *out, aux.cast("map<string,string>").alias("aux"))
 
 
-def edge_expressions() -> list[Column]:
-    """Edge properties of a parsed record."""
+def edge_stage() -> dict[str, Column]:
+    """What several edge properties are made of, as columns of a projection of their own."""
     native = native_relation("relation_type")
     action = native == "EVENT_ACTION"
-    verb = F.when(action, action_verb("relation_label_repr", "event_trigger")).otherwise(F.lit(""))
+    return {
+        "__native": native, "__verb": F.when(action, action_verb("relation_label_repr", "event_trigger")).otherwise(F.lit("")),
+        "__url": F.when(~action, first_url("tar_entity_match_text", trimmed=True)),
+    }
+
+
+def edge_expressions() -> list[Column]:
+    """Edge properties of a parsed record with the columns of edge_stage()."""
+    native, verb = F.col("__native"), F.col("__verb")
+    action = native == "EVENT_ACTION"
     service = F.when(action, action_service(verb)).otherwise(
         reference_service("tar_entity_match_pattern_type", "tar_entity_match_text")
     )
-    url = url_info("tar_entity_match_text")
+    url = url_parts("__url", "__host")
     return [
         native.alias("rel_type"), native.alias("native_rel_type"), service.alias("service_rel_type"),
         verb.alias("eventaction_verb_label"), F.col("relation_label_repr").alias("raw_relation_label_repr"),
@@ -134,10 +146,15 @@ def normalize(
     )
     records = ends.select((F.col("s.entity_id").isNull() | F.col("t.entity_id").isNull()).alias("skipped"))
     kept = ends.where(F.col("s.entity_id").isNotNull() & F.col("t.entity_id").isNotNull())
-    s_label = F.coalesce("s.label", node_label("source_entity_type", labels))
-    t_label = F.coalesce("t.label", node_label("target_entity_type", labels))
+    kept = kept.withColumns(
+        {
+            "__s_label": F.coalesce("s.label", node_label("source_entity_type", labels)),
+            "__t_label": F.coalesce("t.label", node_label("target_entity_type", labels)),
+        }
+    )
+    s_label, t_label = F.col("__s_label"), F.col("__t_label")
     uid = lambda label, i: F.concat(label, F.lit(":"), F.col(i))
-    edges = kept.select(
+    edges = kept.withColumns(edge_stage()).withColumn("__host", url_host("__url")).select(
         F.col(ORDINAL), uid(s_label, "s.entity_id").alias("source_node_uid"), uid(t_label, "t.entity_id").alias("target_node_uid"),
         s_label.alias("src_label"), F.col("s.entity_id").alias("src_entity_id"),
         t_label.alias("dst_label"), F.col("t.entity_id").alias("dst_entity_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from loomgraph.functions.clean import (
     int_like,
     is_missing,
     issue_number,
-    object_map,
     safe_text,
+    with_object_map,
 )
 from loomgraph.functions.rules import broken_id
 from loomgraph.vocabulary import ABBREVIATIONS
@@ -57,8 +59,13 @@ FORMATS = {
 }
 
 
-def id_parts(props: Column, text: Column, row: dict[str, Column], aggregated_repo: Column | None = None) -> dict[str, Column]:
-    """Each part from the object's properties, then the row, then the match text; the repository last from its aggregate."""
+def id_parts(
+    props: Column, text: Column, row: dict[str, Column], aggregated_repo: Column | None = None, kind: Column | None = None
+) -> dict[str, Column]:
+    """Each part from the object's properties, then the row, then the match text; the repository last from its aggregate.
+
+    A part is made only for rows whose type needs it, as `kind` says.
+    """
     out = {}
     for part, names in PART_NAMES.items():
         sources = [F.try_element_at(props, F.lit(n)) for n in names]
@@ -69,30 +76,27 @@ def id_parts(props: Column, text: Column, row: dict[str, Column], aggregated_rep
             sources.append(commit_sha(text))
         if part == "repo_id" and aggregated_repo is not None:
             sources.append(F.regexp_extract(F.coalesce(aggregated_repo, F.lit("")), r"^R_(\d+)$", 1))
-        there = F.filter(F.array(*[s.cast("string") for s in sources]), lambda s: ~is_missing(s))
-        value = int_like(F.coalesce(F.get(there, F.lit(0)), F.lit("")))
-        out[part] = F.lower(value) if part == "commit_sha" else value
+        there = F.coalesce(*[F.when(~is_missing(s.cast("string")), s.cast("string")) for s in sources], F.lit(""))
+        value = F.lower(there) if part == "commit_sha" else int_like(there)
+        users = [k for k, (needed, _) in FORMATS.items() if part in needed]
+        out[part] = value if kind is None else F.when(kind.isin(*users), value).otherwise(F.lit(""))
     return out
 
 
 def rebuilt_id(kind: Column, parts: dict[str, Column]) -> tuple[Column, Column, Column]:
     """entity_id, missing and supported: the id of its type, the sorted names of parts that it lacks, a known type."""
-    needed = lookup_lists({k: parts_ for k, (parts_, _) in FORMATS.items()}, kind)
-    values = F.create_map(*[x for n, v in parts.items() for x in (F.lit(n), v)])
-    missing = F.sort_array(F.filter(F.coalesce(needed, F.array().cast("array<string>")), lambda n: values[n] == ""))
-    ids = F.lit(None).cast("string")
-    for name, (_, form) in FORMATS.items():
+    ids, missing = F.lit(None).cast("string"), F.array().cast("array<string>")
+    for name, (needed, form) in FORMATS.items():
         pieces = []
         for chunk in form.split("{"):
             field, mark, rest = chunk.partition("}")
             pieces += [parts[field], F.lit(rest)] if mark else [F.lit(chunk)]
-        ids = F.when(kind == name, F.concat(*pieces)).otherwise(ids)
-    return F.when(F.size(missing) == 0, ids), missing, needed.isNotNull()
-
-
-def lookup_lists(lists: dict[str, tuple[str, ...]], key: Column) -> Column:
-    """The list of a key in a literal map; null for keys that it lacks."""
-    return F.try_element_at(F.create_map(*[x for k, v in lists.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), key)
+        gaps = [parts[n] == "" for n in sorted(needed)]
+        whole = ~reduce(lambda x, y: x | y, gaps)
+        ids = F.when((kind == name) & whole, F.concat(*pieces)).otherwise(ids)
+        lacking = F.array_compact(F.array(*[F.when(g, F.lit(n)) for g, n in zip(gaps, sorted(needed), strict=True)]))
+        missing = F.when((kind == name) & ~whole, lacking).otherwise(missing)
+    return ids, missing, F.coalesce(kind.isin(*FORMATS), F.lit(False))
 
 
 def rebuild(rows: DataFrame, kind: Column, aggregated_repo: Column | None = None) -> DataFrame:
@@ -102,11 +106,12 @@ def rebuild(rows: DataFrame, kind: Column, aggregated_repo: Column | None = None
     """
     have = set(rows.columns)
     c = lambda n: F.col(n).cast("string") if n in have else F.lit(None).cast("string")
-    staged = rows if "__props" in have else rows.select("*", object_map(c("tar_entity_objnt_prop_dict")).alias("__props"))
+    staged = rows if "__props" in have else with_object_map(rows, c("tar_entity_objnt_prop_dict"), "__props")
+    staged = staged.select("*", safe_text(kind).alias("__kind"))
     given = {n: c(n) for n in PART_NAMES if n in have}
-    parts = id_parts(F.col("__props"), c("tar_entity_match_text"), given, aggregated_repo)
+    parts = id_parts(F.col("__props"), c("tar_entity_match_text"), given, aggregated_repo, F.col("__kind"))
     staged = staged.select("*", *[v.alias(f"__part_{n}") for n, v in parts.items()])
-    made = rebuilt_id(safe_text(kind), {n: F.col(f"__part_{n}") for n in parts})
+    made = rebuilt_id(F.col("__kind"), {n: F.col(f"__part_{n}") for n in parts})
     out = [v.alias(n) for v, n in zip(made, ("entity_id", "missing", "supported"), strict=True)]
     return staged.select(*rows.columns, *out)
 
@@ -179,7 +184,7 @@ def preprocess(rows: DataFrame, mode: str = "full") -> DataFrame:
     have = set(rows.columns)
     c = lambda n: F.col(n).cast("string") if n in have else F.lit(None).cast("string")
     is_ref = F.coalesce(F.trim(c("relation_type")) == "Reference", F.lit(False))
-    staged = rows.select("*", object_map(c("tar_entity_objnt_prop_dict")).alias("__props"))
+    staged = with_object_map(rows, F.when(is_ref, c("tar_entity_objnt_prop_dict")), "__props")
     if mode == "full":
         repo = first_nonempty(
             F.regexp_extract(F.coalesce(c("src_entity_id"), F.lit("")), r"^[A-Z]+_(\d+)", 1), F.when(~is_missing(c("repo_id")), c("repo_id"))

@@ -26,10 +26,6 @@ def top_counts(rows: DataFrame, key: str, k: int) -> DataFrame:
     return value_counts(rows, key).orderBy(F.desc("n"), key).limit(k)
 
 
-def _ranked(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    return value_counts(rows, key).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-
-
 def tail(rows: DataFrame, key: str, k: int) -> DataFrame:
     """How many rows and keys lie beyond the k largest counts, from the totals and the top k."""
     counts = value_counts(rows, key)
@@ -162,7 +158,8 @@ def inferred_schema(graph: PropertyGraph) -> DataFrame:
         e.select(F.lit("relation").alias("kind"), F.col("rel_type").alias("value")),
         e.select(F.lit("direction").alias("kind"), F.concat("src_label", F.lit("-[:"), "rel_type", F.lit("]->"), "dst_label").alias("value")),
     ]
-    names = [c for c in e.columns if c not in ("_ord", "aux", "rel_type", "source_node_uid", "target_node_uid")]
+    ends = ("source_node_uid", "target_node_uid", "src_label", "src_entity_id", "dst_label", "dst_entity_id")
+    names = [c for c in e.columns if c not in ("_ord", "edge_uid", "aux", "rel_type", *ends)]
     there = F.concat(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in names])), F.map_keys("aux"))
     out.append(e.select(F.explode(there).alias("p"), "rel_type").select(
         F.lit("relation property").alias("kind"), F.concat("rel_type", F.lit("."), "p").alias("value")))
@@ -198,7 +195,7 @@ def field_dictionary(rows: DataFrame) -> DataFrame:
 
 def stratified_sample(rows: DataFrame, stratum: Column, n: int, seed: int = 42) -> DataFrame:
     """Half of n rows from the stratum and the rest from outside it, chosen and ordered by hash: the same rows each time."""
-    key = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in rows.columns])
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in rows.columns]))
     marked = rows.withColumn("__k", key)
     inside = marked.where(stratum).orderBy("__k", *rows.columns).limit(n // 2)
     outside = marked.where(~F.coalesce(stratum, F.lit(False))).orderBy("__k", *rows.columns).limit(n - n // 2)
@@ -219,7 +216,7 @@ def blank_ratio(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.avg(F.when(safe_text(column) == "", 1.0).otherwise(0.0)).alias("blank_ratio"))
 
 
-def sentinels(rows: DataFrame, columns: tuple[str, ...], most: int = 20000) -> DataFrame:
-    """The spellings of missing values that occur in the columns of the first `most` rows that Spark hands out."""
-    cells = rows.limit(most).select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("v"))
+def sentinels(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The spellings of missing values that occur in the columns, over all rows."""
+    cells = rows.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("v"))
     return cells.where(is_missing("v") & F.col("v").isNotNull()).select(F.trim("v").alias("sentinel")).distinct()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.clean import canonical_number, is_missing, key_value, login, object_map
+from loomgraph.functions.clean import canonical_number, is_missing, key_value, login, with_object_map
 from loomgraph.functions.mentions import mentions
+from loomgraph.session import file_system
 from loomgraph.vocabulary import ABBREVIATIONS
 
 REPO_KEYS, ACTOR_KEYS = ("repo_full_name", "repo"), ("actor_login", "user", "login", "org", "username")
@@ -14,28 +15,56 @@ REPO_KEYS, ACTOR_KEYS = ("repo_full_name", "repo"), ("actor_login", "user", "log
 
 def build_indexes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repo_id, repo_full_name) and (actor_id, actor_login) from the objects in rows; both sides of a pair are needed."""
-    p = object_map("tar_entity_objnt_prop_dict")
     get = lambda k: F.try_element_at(F.col("p"), F.lit(k))
-    props = rows.select(p.alias("p"))
+    props = with_object_map(rows.select("tar_entity_objnt_prop_dict"), F.col("tar_entity_objnt_prop_dict"), "p")
     repos = props.select(get("repo_id").alias("repo_id"), F.coalesce(get("repo_full_name"), get("repo_name")).alias("repo_full_name"))
     actors = props.select(get("actor_id").alias("actor_id"), F.coalesce(get("actor_login"), get("login")).alias("actor_login"))
     full = lambda d: d.where(~is_missing(d.columns[0]) & ~is_missing(d.columns[1])).distinct()
     return full(repos), full(actors)
 
 
-def upsert(index: DataFrame, more: DataFrame, key: str, value: str) -> DataFrame:
-    """The index with newer rows in place of older ones of the same key; blank keys and values are left out."""
-    both = index.select(key, value, F.lit(0).alias("age")).unionByName(more.select(key, value, F.lit(1).alias("age")))
+def _last(value: str, order: str | None) -> Column:
+    """The value of the last row by order; without an order, which a table doesn't have by itself, the greatest value."""
+    return F.max_by(value, F.struct(order, value)) if order else F.max(value)
+
+
+def upsert(index: DataFrame, more: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
+    """The index with newer rows in place of older ones of the same key; blank keys and values are left out.
+
+    Within the newer rows the last by the column `order` counts.
+    """
+    place = lambda df: F.col(order) if order and order in df.columns else F.lit(None).cast("long")
+    both = index.select(key, value, F.lit(0).alias("age"), F.lit(None).cast("long").alias("place"))
+    both = both.unionByName(more.select(key, value, F.lit(1).alias("age"), place(more).cast("long").alias("place")))
     both = both.where(~is_missing(key) & ~is_missing(value))
-    return both.groupBy(key).agg(F.max_by(value, F.struct("age", value)).alias(value))
+    return both.groupBy(key).agg(F.max_by(value, F.struct("age", "place", value)).alias(value))
+
 
+def rebuild_index(index: DataFrame, more: DataFrame, path: str, key: str, value: str, order: str | None = None) -> DataFrame:
+    """Upsert into the index kept at path: the new one is written beside it and takes its place only when it is whole.
 
-def lookup(rows: DataFrame, name: str, index: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """rows with the id of a name, in any case and with or without @; of equal names the last id wins.
+    A rebuild that would leave no rows is refused, and the old index stays.
+    """
+    spark = more.sparkSession
+    fresh = f"{path}.new"
+    upsert(index, more, key, value, order).write.mode("overwrite").parquet(fresh)
+    if spark.read.parquet(fresh).isEmpty():
+        raise ValueError("the rebuilt index is empty; the old one stays")
+    (new, fs), (at, _), (old, _) = (file_system(spark, p) for p in (fresh, path, f"{path}.old"))
+    fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
+    return spark.read.parquet(path)
+
+
+def lookup(rows: DataFrame, name: str, index: DataFrame, id_col: str, name_col: str, order: str | None = None) -> DataFrame:
+    """rows with the id of a name, in any case and with or without @; of equal names the last id by `order` wins.
 
     The index goes through one aggregate and a left join whose side Spark broadcasts if its statistics allow.
     """
-    table = index.groupBy(login(name_col).alias("__index_name")).agg(F.max(id_col).alias(id_col))
+    table = index.groupBy(login(name_col).alias("__index_name")).agg(_last(id_col, order).alias(id_col))
     return rows.join(table, login(name) == F.col("__index_name"), "left").drop("__index_name")
 
 

@@ -20,6 +20,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df read back from a scratch folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return _read(df.sparkSession, path, df)
+
+
 def _read(spark: SparkSession, path: str, like: DataFrame | None) -> DataFrame:
     return (spark.read if like is None else spark.read.schema(like.schema)).parquet(path)
 
@@ -36,7 +43,7 @@ def save(graph: PropertyGraph, path: str) -> None:
     graph.nodes.write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
     _edges(graph).write.mode("overwrite").partitionBy(*RELATIONS).parquet(f"{path}/edges")
     if graph.records is not None:
-        counts = graph.records.groupBy("skipped").agg(F.count(F.lit(1)).alias("n"))
+        counts = graph.records.groupBy("skipped").agg(F.sum(graph.rows_of_record()).alias("n"))
         counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/records")
 
 

@@ -34,7 +34,7 @@ _URL = "regexp_extract(match_text, 'https?://[^\\s\\])\"'',;>]+')"
 def edges(kept: str = "tar_entity_id <> ''") -> str:
     """A WITH clause up to e(src, dst, labels, rel, svc, verb, t, domain): the edges of the graph."""
     return f"""WITH {RAW},
-e AS (
+e AS MATERIALIZED (
   SELECT src_entity_type || ':' || src_entity_id AS s_uid, tar_entity_type || ':' || tar_entity_id AS t_uid,
          src_entity_type AS s_label, src_entity_id AS s_id, tar_entity_type AS t_label, tar_entity_id AS t_id,
          CASE WHEN relation_type = 'Reference' THEN 'REFERENCE' ELSE 'EVENT_ACTION' END AS rel,

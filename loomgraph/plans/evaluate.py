@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +99,14 @@ def run_repairs(spark: SparkSession, cases: list[dict], schema: Schema, intent:
     return spark.createDataFrame(rows, _CASE)
 
 
+def joined_corpus(cases: DataFrame, queries: DataFrame, key: str = "query_id") -> DataFrame:
+    """Cases with the columns of their queries; a case whose query isn't there fails, and its key is named."""
+    lost = cases.join(queries.select(key), key, "left_anti").select(key).distinct().orderBy(key).limit(10).collect()
+    if lost:
+        raise KeyError(", ".join(str(r[0]) for r in lost))
+    return cases.join(queries, key)
+
+
 def repair_report(runs: DataFrame) -> DataFrame:
     """By failure type: cases, valid and exact repairs, and edits a case."""
     return runs.groupBy("failure_type").agg(
@@ -111,17 +120,20 @@ def edit_report(runs: DataFrame) -> DataFrame:
 
 
 def compare(spark: SparkSession, examples: list[dict], generators: dict[str, Callable[[dict], str | None]], schema: Schema, repaired: bool = True) -> DataFrame:
-    """A row for each generator and example: text, validity before and after repair, and whether it equals the gold."""
+    """A row for each generator and example: text, validity before and after repair, edits, time, and whether it equals the gold."""
     rows = []
     for name, make in generators.items():
         for e in examples:
+            began = time.perf_counter()
             text = make(e) or ""
             before = not bound_codes(text, schema)
             r = repair(text, bound_codes(text, schema), schema, Intent()) if repaired and not before else None
             final = r.text if r else text
-            rows.append((name, e["id"], text, final, before, before or bool(r and r.valid), r is not None, bool(r and r.valid), same_query(final, e.get("gold_cypher"))))
-    names = ("generator", "query_id", "text", "final", "valid_before", "valid", "attempted", "repaired", "exact")
-    kinds = [T.StringType()] * 4 + [T.BooleanType()] * 5
+            rows.append((name, e["id"], text, final, before, before or bool(r and r.valid), r is not None, bool(r and r.valid), same_query(final, e.get("gold_cypher")),
+                         not text, len(r.edits) if r else 0, 1000 * (time.perf_counter() - began)))
+    names = ("generator", "query_id", "text", "final", "valid_before", "valid", "attempted", "repaired", "exact",
+             "abstained", "repair_edits", "latency_ms")
+    kinds = [T.StringType()] * 4 + [T.BooleanType()] * 6 + [T.LongType(), T.DoubleType()]
     return spark.createDataFrame(rows, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 

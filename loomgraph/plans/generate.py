@@ -24,7 +24,7 @@ FREE_FORM = "MATCH (x:Entity)-[:RELATED_TO]->(y:Entity) RETURN x, y LIMIT 10"
 @dataclass(frozen=True)
 class Entity:
     label: str
-    alias: str = "n"
+    alias: str = ""
     value: str | None = None
 
 
@@ -40,6 +40,8 @@ class Condition:
     name: str
     operator: str = "="
     value: object = None
+    of_relation: bool = False
+    owner: str | None = None
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,8 @@ class Window:
     name: str
     start: str | None = None
     end: str | None = None
+    of_relation: bool = False
+    owner: str | None = None
 
 
 @dataclass(frozen=True)
@@ -72,17 +76,45 @@ class Slots:
     sorts: tuple[Sort, ...] = ()
     aggregations: tuple[Aggregation, ...] = ()
 
+    @classmethod
+    def parsed(cls, candidates: dict) -> Slots:
+        """Slots from lists of mappings; entries without a name, and what isn't a mapping, are left out."""
+        of = lambda kind, name: [x for x in candidates.get(kind) or [] if isinstance(x, dict) and x.get(name)]
+        text = lambda v: None if v in (None, "") else str(v)
+        owned = lambda x: {"of_relation": x.get("owner_kind", "node") != "node", "owner": text(x.get("owner_type"))}
+        return cls(
+            tuple(Entity(str(x["label"]), str(x.get("alias") or ""), None if x.get("value") is None else str(x["value"])) for x in of("entity_slots", "label")),
+            tuple(Relation(str(x["rel_type"]), text(x.get("src_label")), text(x.get("dst_label"))) for x in of("relation_slots", "rel_type")),
+            tuple(Condition(str(x["property_name"]), str(x.get("operator", "=")), x.get("value"), **owned(x)) for x in of("property_slots", "property_name")),
+            tuple(Window(str(x["property_name"]), x.get("start"), x.get("end"), **owned(x)) for x in of("time_range_slots", "property_name")),
+            tuple(Sort(str(x["property_name"]), str(x.get("order", "ASC")).upper() == "DESC", int(x.get("limit", 25))) for x in of("sort_slots", "property_name")),
+            tuple(Aggregation(str(x["function"]).upper(), str(x.get("target", "*")), str(x.get("alias", "value"))) for x in of("aggregation_slots", "function")),
+        )
+
     def accepted(self, schema: Schema) -> tuple[Slots, list[str]]:
-        """The slots that the schema allows, and why the others were turned down."""
-        refused = [f"label:{e.label}" for e in self.entities if schema.labels and e.label not in schema.labels]
-        refused += [f"relation:{r.kind}" for r in self.relations if schema.relations and r.kind not in schema.relations]
-        refused += [f"operator:{c.operator}" for c in self.conditions if c.operator.upper() not in OPERATORS]
-        return Slots(
-            tuple(e for e in self.entities if not schema.labels or e.label in schema.labels),
-            tuple(r for r in self.relations if not schema.relations or r.kind in schema.relations),
-            tuple(c for c in self.conditions if c.operator.upper() in OPERATORS), self.windows, self.sorts,
-            tuple(a for a in self.aggregations if a.function.upper() in ("COUNT", "SUM", "AVG", "MIN", "MAX")),
-        ), refused
+        """The slots that the schema allows, and why the others were turned down. Windows belong to nodes."""
+        refused: list[str] = []
+
+        def kept(slots: tuple, why) -> tuple:
+            reasons = [why(x) for x in slots]
+            refused.extend(r for r in reasons if r)
+            return tuple(x for x, r in zip(slots, reasons, strict=True) if not r)
+
+        def owned(x) -> bool:
+            return schema.allows_property(x.name, relation=x.owner) if x.of_relation else schema.allows_property(x.name, label=x.owner)
+
+        def condition(c: Condition) -> str:
+            return f"operator:{c.operator}" if c.operator.upper() not in OPERATORS else "" if owned(c) else f"property:{c.name}"
+
+        listed = lambda name: not schema.properties or name in schema.properties
+        out = Slots(
+            kept(self.entities, lambda e: f"label:{e.label}" if schema.labels and e.label not in schema.labels else ""),
+            kept(self.relations, lambda r: f"relation:{r.kind}" if schema.relations and r.kind not in schema.relations else ""),
+            kept(self.conditions, condition), kept(self.windows, lambda w: f"time:{w.name}" if w.of_relation or not owned(w) else ""),
+            kept(self.sorts, lambda x: "" if listed(x.name) else f"sort:{x.name}"),
+            kept(self.aggregations, lambda g: "" if g.function.upper() in ("COUNT", "SUM", "AVG", "MIN", "MAX") else f"aggregation:{g.function}"),
+        )
+        return out, refused
 
 
 def free_form() -> str:
@@ -95,10 +127,13 @@ def template_first(schema: Schema) -> str | None:
     return f"MATCH (n:{min(schema.labels)}) RETURN n LIMIT 25" if schema.labels else None
 
 
-def controlled(slots: Slots, schema: Schema) -> tuple[str | None, list[str]]:
-    """The first candidate that fits the schema, a relation before a single label; None to abstain, with the reasons."""
-    slots, trace = slots.accepted(schema)
-    entities = slots.entities or tuple(Entity(x) for x in sorted(schema.labels)[:1])
+#: Families of query shapes, in the order in which they are tried; a question's type may allow some of them only.
+FAMILIES = ("join_traversal", "entity_filter")
+
+
+def _traversals(slots: Slots, schema: Schema, trace: list[str]):
+    """(source, relation, target) of the slots that the schema lets stand together."""
+    entities = slots.entities or tuple(Entity(x) for x in sorted(schema.labels)[:2])
     relations = slots.relations or (tuple(Relation(r) for r in sorted(schema.relations)) if len(slots.entities) > 1 else ())
     for source, relation, target in itertools.product(entities, relations, entities):
         if relation.source not in (None, source.label) or relation.target not in (None, target.label) or source is target:
@@ -106,8 +141,38 @@ def controlled(slots: Slots, schema: Schema) -> tuple[str | None, list[str]]:
         elif not schema.allows_direction(source.label, relation.kind, target.label):
             trace.append(f"direction:{source.label}-[:{relation.kind}]->{target.label}")
         else:
-            return _rendered(slots, source, relation, target), trace
-    return (_rendered(slots, entities[0], None, None) if entities else None), trace
+            yield source, relation, target
+
+
+def _fits(slots: Slots, schema: Schema, source: Entity, relation: Relation | None) -> bool:
+    """Whether the first condition and window belong to what the shape binds."""
+    for x in (*slots.conditions[:1], *slots.windows[:1]):
+        if x.of_relation:
+            if relation is None or not schema.allows_property(x.name, relation=x.owner or relation.kind):
+                return False
+        elif not schema.allows_property(x.name, label=x.owner or source.label):
+            return False
+    return True
+
+
+def controlled(slots: Slots, schema: Schema, families: tuple[str, ...] = ()) -> tuple[str | None, list[str]]:
+    """The first candidate of an allowed family that fits the schema; None to abstain, with the reasons.
+
+    A traversal is tried before a single entity. Without families both are allowed.
+    """
+    slots, trace = slots.accepted(schema)
+    for family in [f for f in FAMILIES if not families or f in families]:
+        if family == "join_traversal":
+            for source, relation, target in _traversals(slots, schema, trace):
+                if _fits(slots, schema, source, relation):
+                    return _rendered(slots, source, relation, target), trace
+                trace.append(f"property:{source.label}-{relation.kind}")
+        else:
+            for entity in slots.entities or tuple(Entity(x) for x in sorted(schema.labels)[:1]):
+                if _fits(slots, schema, entity, None):
+                    return _rendered(slots, entity, None, None), trace
+                trace.append(f"property:{entity.label}")
+    return None, [*trace, "no shape fits"]
 
 
 def _rendered(slots: Slots, source: Entity, relation: Relation | None, target: Entity | None) -> str:

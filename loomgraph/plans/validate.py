@@ -101,6 +101,59 @@ def static_codes(text: Column | str, schema: Schema, edge_labels: bool = False)
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks]))
 
 
+def _listed(code: str, names: Column) -> Column:
+    return F.when(F.size(names) > 0, F.concat(F.lit(f"{code}:['"), F.array_join(names, "', '"), F.lit("']")))
+
+
+def string_codes(text: Column | str, schema: Schema, query_type: Column | None = None, families: tuple[str, ...] | None = None) -> Column:
+    """array<string> of faults in lower case, with the offending names in the code.
+
+    families are the shapes that the question's type allows; a join_traversal without a relation is a fault unless a single
+    entity will do. Without families that check is left out.
+    """
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    shape = F.filter(static_codes(t, Schema(frozenset(), frozenset(), frozenset(), {}, {}, frozenset())), lambda c: c != "")
+    shape = F.transform(shape, F.lower)
+    relations, more = _names(t, _RELATION), []
+    if schema.labels:
+        more.append(_listed("disallowed_labels", F.array_except(_names(t, _LABEL), _lits(schema.labels))))
+    if schema.relations:
+        more.append(_listed("disallowed_relationships", F.array_except(relations, _lits(schema.relations))))
+        if families is not None and "entity_filter" not in families:
+            kind = F.lit("join_traversal") if query_type is None else query_type
+            more.append(F.when((kind == "join_traversal") & (F.size(relations) == 0), F.lit("missing_required_relationship")))
+    if schema.properties:
+        more.append(_listed("disallowed_properties", F.array_except(_names(t, _PROPERTY), _lits(schema.properties))))
+    if schema.directions:
+        mismatch = F.array_contains(static_codes(t, Schema(frozenset(), frozenset(), frozenset(), {}, {}, schema.directions)), "DIRECTION_MISMATCH")
+        more.append(F.when(mismatch, F.lit("direction_constraint_violation")))
+    return F.concat(shape, F.array_compact(F.array(*more))) if more else shape
+
+
+def failure_details(text: Column | str, codes: Column, schema: Schema, missing: Column | None = None, notes: Column | None = None) -> Column:
+    """struct(missing_slots, offending_tokens, offending_properties, hop_count, notes) of a query that failed with codes."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    none = F.array().cast("array<string>")
+    when = lambda code, names: F.when(F.array_contains(codes, code), names).otherwise(none)
+    found = F.transform(F.arrays_zip(*[
+        F.regexp_extract_all(t, F.lit(_DIRECTION), F.lit(i)).alias(n) for i, n in ((1, "s"), (2, "r"), (3, "d"))
+    ]), lambda x: F.concat(x["s"], F.lit("-[:"), x["r"], F.lit("]->"), x["d"]))
+    relations = _names(t, _RELATION)
+    tokens = F.concat(
+        when("UNKNOWN_LABEL", F.array_except(_names(t, _LABEL), _lits(schema.labels))),
+        when("UNKNOWN_REL", F.array_except(relations, _lits(schema.relations))),
+        when("NON_NATIVE_REL_TYPE", F.array_except(relations, _lits(NATIVE_RELATIONS))), when("DIRECTION_MISMATCH", found),
+    )
+    named = F.array_except(_names(t, _PROPERTY), _lits(schema.properties))
+    illegal = F.concat(when("ILLEGAL_PROPERTY", named), when("TEMPLATE_PROPERTY_NOT_ALLOWED", named))
+    unique = lambda a: F.sort_array(F.array_distinct(a))
+    return F.struct(
+        unique(when("MISSING_REQUIRED_SLOT", F.coalesce(missing, none) if missing is not None else none)).alias("missing_slots"),
+        unique(tokens).alias("offending_tokens"), unique(illegal).alias("offending_properties"),
+        F.regexp_count(t, F.lit(r"-\s*\[")).cast("int").alias("hop_count"), (F.lit("") if notes is None else notes).alias("notes"),
+    )
+
+
 def _tests(value) -> list:
     if isinstance(value, Logic):
         return [x for p in value.parts for x in _tests(p)]

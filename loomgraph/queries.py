@@ -17,6 +17,7 @@ from loomgraph.plans.compile import run_query
 from loomgraph.plans.generate import FREE_FORM
 from loomgraph.plans.repair import Intent
 from loomgraph.plans.validate import Schema, Template
+from loomgraph.session import spread
 from loomgraph.sources.graph_view import graph, raw_records, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,7 +208,7 @@ def _broken(spark, sf_dir) -> DataFrame:
         F.lit("{'repo_id': "), F.col("l_suppkey"), F.lit(", 'repo_name': 'it/em', 'issue_number': "), F.coalesce(number, F.lit("None")),
         F.lit(", 'pull_review_comment_id': '"), F.col("l_partkey"), F.lit("', 'release_id': "), F.col("l_linenumber"), F.lit("}"),
     )
-    return read(spark, sf_dir, "lineitem").select(
+    return spread(read(spark, sf_dir, "lineitem")).select(
         F.concat(F.lit("IC_"), F.col("l_suppkey"), F.lit("#"), F.col("l_orderkey"), F.lit("#"), F.col("l_linenumber")).alias("src_entity_id"),
         F.lit("IssueComment").alias("src_entity_type"),
         F.when(F.col("l_returnflag") == "N", "X_None").when(F.col("l_returnflag") == "R", "").otherwise("I_1#1").alias("tar_entity_id"),
@@ -515,7 +516,11 @@ def field_dictionary(spark, sf_dir):
     return reports.field_dictionary(raw_records(spark, sf_dir).select(*columns)).select("field", "rows", "missing", "distinct_values")
 
 
-@register()
+@register(
+    f"""WITH {oracle.RAW}, k AS (SELECT *, md5(concat_ws('|', '42', {_ORDER})) AS h FROM raw)
+    SELECT * EXCLUDE h RENAME (pattern AS tar_entity_match_pattern_type, match_text AS tar_entity_match_text) FROM (
+      (SELECT * FROM k WHERE relation_type = 'Reference' ORDER BY h LIMIT 500) UNION ALL (SELECT * FROM k WHERE relation_type <> 'Reference' ORDER BY h LIMIT 500))"""
+)
 def stratified_sample(spark, sf_dir):
     return reports.stratified_sample(raw_records(spark, sf_dir), F.col("relation_type") == "Reference", 1000)
 

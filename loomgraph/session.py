@@ -6,7 +6,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of a table up to which its rows are dealt to all cores; a larger one has splits enough of its own.
+SPREAD_BYTES = 64 << 20
 
 
 def ship_package(spark: SparkSession | None = None) -> None:
@@ -49,3 +52,14 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     p, fs = file_system(spark, path)
     fs.mkdirs(p)
     fs.deleteOnExit(p)
+
+
+def tune(spark: SparkSession) -> None:
+    """Settings that the graph engine's plans want: the JVM compiles no method above 8000 bytes, so generated ones stay below."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table dealt to all cores, as one small file is one split; a larger table stays as it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.normalize import PropertyGraph, normalize, with_ordinal
-from loomgraph.operators.store import kept
+from loomgraph.operators.store import kept, written
+from loomgraph.session import spread, tune
 from loomgraph.vocabulary import NATIVE_LABELS
 
 COLUMNS = (
@@ -16,6 +17,7 @@ COLUMNS = (
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,7 +31,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each table is read once; a row is turned into all its records at once.
     """
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    orders = read(spark, sf_dir, "orders").join(
+    orders = spread(read(spark, sf_dir, "orders")).join(
         read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nk")), "o_custkey"
     )
     issue = F.col("o_orderstatus") == "O"
@@ -39,7 +41,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         stamp("o_orderdate").alias("at"),
     )
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("pid"), "url")
-    items = read(spark, sf_dir, "lineitem").select(
+    items = spread(read(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", stamp("l_shipdate").alias("at")
     ).crossJoin(pages.agg(F.count(F.lit(1)).alias("n_pages")))  # one row
     items = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "nk", "kind", "oid"), "l_orderkey")
@@ -59,15 +61,15 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         record(oid, kind, F.concat(F.lit("A_"), _text("o_custkey")), "Actor", "EventAction", F.concat(kind, F.lit("_OpenedBy_Actor"))),
         record(oid, kind, F.concat(F.lit("R_"), _text("nk")), "Repo", "EventAction", F.concat(kind, F.lit("_CreatedIn_Repo"))),
     )
-    of_items = F.array_compact(F.array(
+    of_items = F.array(
         record(comment, "IssueComment", oid, kind, "EventAction", F.concat(F.lit("IssueComment_CommentedOnIssue_"), kind)),
         record(comment, "IssueComment", supplier, "Actor", "EventAction", "IssueComment_OpenedBy_Actor"),
         F.when(url.isNotNull(), record(oid, kind, url, "ExternalResource", "Reference", none, "GitHub_Service_External_Links", url)),
         record(comment, "IssueComment", supplier, "Actor", "Reference", none, "Actor", none),
         F.when(F.col("l_quantity") < 10, record(oid, kind, commit, "Commit", "Reference", none, "SHA", none)),
         F.when(F.col("l_returnflag") == "R", record(comment, "IssueComment", none, none, "Reference", none, "GitHub_Other_Service", none)),
-    ))
-    each = lambda df, records: df.select(F.explode(records).alias("r")).select("r.*")
+    )
+    each = lambda df, records: df.select(F.explode(records).alias("r")).where("r IS NOT NULL").select("r.*")
     return each(orders, of_orders).unionByName(each(items, of_items))
 
 
@@ -79,7 +81,7 @@ def graph(spark: SparkSession, sf_dir: str, policy: str = "skip") -> PropertyGra
     held = spark.__dict__.setdefault("_loomgraph_graphs", {})
     if (sf_dir, policy) not in held:
         rows = raw_records(spark, sf_dir)
-        if policy != "skip":
-            rows = with_ordinal(rows, *COLUMNS)
+        # written once, since nodes, edges and counts each read them; an order is written by itself
+        rows = written(rows, "records") if policy == "skip" else with_ordinal(rows, *COLUMNS)
         held[sf_dir, policy] = kept(normalize(rows, NATIVE_LABELS, policy, prefer_aggregated=False))
     return held[sf_dir, policy]

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from loomgraph.functions import clean, rules
-from loomgraph.functions.mentions import find_mentions, mentions
+from loomgraph.functions.mentions import mentions
 
 
 def values(spark, expression, *texts):
@@ -51,7 +51,7 @@ def test_objects_written_as_python(spark):
     texts = ("{'repo_id': 7, 'n': None, 'ok': True}", '{"a": "None of it"}', "[1]", "nothing", None)
     got = values(spark, clean.object_map("t"), *texts)
     assert got[0]["repo_id"] == "7" and got[0]["n"] is None and got[1] == {"a": "None of it"} and got[3] == got[4] == {}
-    assert values(spark, clean.object_map_slow("t"), "{'a': (1, 2)}")[0]["a"] == "[1,2]"
+    assert values(spark, clean.object_map("t"), "{'a': (1, 2)}")[0]["a"] == "[1,2]"
 
 
 def test_year_and_key_value(spark):
@@ -76,9 +76,30 @@ def test_node_types(spark):
 
 
 def test_mentions(spark):
-    kinds = lambda t: [(m[2], m[1]) for m in find_mentions(t)]
+    def kinds(text):
+        return [(m.hint_type, m.normalized_text) for m in values(spark, mentions("t"), text)[0]]
+
     assert kinds("R_156018 xR_1 A_7045099") == [("repo_canonical_id", "R_156018"), ("actor_canonical_id", "A_7045099")]
     assert kinds("@user and @ app[bot]") == [("actor_handle", "user"), ("actor_handle", "app[bot]")]
     assert kinds("https://github.com/owner/repo/issues/1") == [("repo_url", "owner/repo")]
     assert ("repo_full_name", "example.com/a") in kinds("https://example.com/a b")
     assert values(spark, F.size(mentions("t")), "@a @b", None) == [2, 0]
+
+
+def test_mention_spans_count_code_points(spark):
+    text = "é😀 @kim, R_5 x/y"
+    found = {(m.hint_type, m.start, m.end): m.raw_text for m in values(spark, mentions("t"), text)[0]}
+    assert found == {("actor_handle", 3, 7): "@kim", ("repo_canonical_id", 9, 12): "R_5", ("repo_full_name", 13, 16): "x/y"}
+    assert all(text[a:z] == raw for (_, a, z), raw in found.items())
+
+
+def test_deep_reading(spark):
+    clean.ship_package()
+    text = """{"a": "12", "b": ["1.5", "{'c': ('7', None)}"], "d": "nan", "e": true}"""
+    assert values(spark, clean.deep_json("t"), text, "x", None) == ['{"a":12,"b":[1.5,{"c":[7,null]}],"d":"nan","e":true}', '"x"', None]
+
+
+def test_object_map_reads_what_json_cannot(spark):
+    texts = ["{'repo_id': 7, 'tags': ('a','b')}", "{'s': {1}}", "{'w': 'it\\'s'}", "{'a': None, 'b': True}", "{'None': 'x: None'}", "(1, 2)", "junk", None]
+    want = [{"repo_id": "7", "tags": '["a","b"]'}, {"s": "[1]"}, {"w": "it's"}, {"a": None, "b": "true"}, {"None": "x: None"}, {}, {}, {}]
+    assert values(spark, clean.object_map("t"), *texts) == want

@@ -100,7 +100,7 @@ def test_injected_edges_answer_pending_queries(spark, small):
 
 
 @pytest.mark.parametrize("fine,entity,props,number,want", [
-    ("PullRequestReviewComment", "PRRC_None", "{'repo_id': 77394483, 'repo_name': 'guybe7/redis', 'issue_number': 61, 'pull_review_comment_id': '1121847378'}", "", ("PRRC_77394483#61#r1121847378", "repaired")),
+    ("PullRequestReviewComment", "PRRC_None", "{'repo_id': 4711, 'repo_name': 'own/er', 'issue_number': 12, 'pull_review_comment_id': '998877'}", "", ("PRRC_4711#12#r998877", "repaired")),
     ("", "X_None", "{}", "", ("X_None", "skipped_no_fine_grained")), ("Issue", "I_1#2", "{}", "", ("I_1#2", "skipped_not_needed")),
     ("Gollum", "", "{}", "", ("", "failed_unsupported_type:Gollum")), ("Issue", "", "{'repo_id': 1}", "", ("", "failed_missing_fields:issue_number")),
     ("Issue", "", "{'repo_id': 1.0}", "see #12", ("I_1#12", "repaired")), ("Commit", "", "{'repo_id': 1}", "at ABCDEF1234", ("C_1@abcdef1234", "repaired")),
@@ -168,3 +168,49 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("service_rel_type = 'OPENED_BY'").count() == 2
     with pytest.raises(ValueError):
         edge_stream(stream, NATIVE_LABELS, "unknown")
+
+
+def test_equal_parallel_edges_stay_two(spark):
+    rows = [row("I_1", "Issue", "A_1", "Actor", label="Issue_OpenedBy_Actor")] * 2 + [row("I_2", "Issue", "A_1", "Actor", label="Issue_OpenedBy_Actor")]
+    g = normalize(spark.createDataFrame(rows, COLUMNS), NATIVE_LABELS)
+    assert run_query(g, "MATCH (i:Issue)-[x:OPENED_BY]->(a:Actor), (i)-[y:OPENED_BY]->(a) RETURN i.entity_id").count() == 2
+    assert sinks.script(g).where("value LIKE 'MATCH%'").select("value").distinct().count() == 3
+
+
+def test_ordinals_are_places_in_any_partitioning(spark):
+    values = [f"v{(k * 37) % 200:03d}" for k in range(200)]
+    got = with_ordinal(spark.createDataFrame([(v,) for v in values], "v string").repartition(7), "v").collect()
+    assert sorted((r._ord, r.v) for r in got) == list(enumerate(sorted(values)))
+    assert with_ordinal(spark.createDataFrame([], "v string"), "v").count() == 0
+
+
+def test_store_reads_back_what_it_wrote(spark, small, tmp_path):
+    from loomgraph.operators import store
+
+    store.save(small, str(tmp_path / "g"))
+    back = store.load(spark, str(tmp_path / "g"))
+    assert back.summary().first() == small.summary().first() and back.edges.select("edge_uid").distinct().count() == 6
+    plan = run_query(back, "MATCH (p:PullRequest)-[r:LINKS_TO]->(x) WHERE r.source_event_time > '2023' RETURN x.entity_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "gettimestamp" not in plan.lower() and plan.count("FileScan") == 1
+
+
+def test_index_rebuild_takes_the_place_of_the_old_one_only_when_whole(spark, tmp_path):
+    path = str(tmp_path / "index")
+    pairs = lambda *rows: spark.createDataFrame(rows, "repo_id string, repo_full_name string, place long")
+    old = pairs(("1", "a/b", 0), ("2", "c/d", 0))
+    first = resolve.rebuild_index(old, pairs(("2", "new/x", 1), ("2", "new/a", 2)), path, "repo_id", "repo_full_name", "place")
+    assert {tuple(r) for r in first.collect()} == {("1", "a/b"), ("2", "new/a")}
+    with pytest.raises(ValueError):
+        resolve.rebuild_index(old.where("false"), pairs((" ", "x", 1)), path, "repo_id", "repo_full_name")
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "index.old").exists()
+
+
+def test_mapping_tables(spark, tmp_path):
+    from loomgraph.operators import mapping
+
+    rows = spark.createDataFrame([row("I_1", "Issue", "A_1", "Actor", label="Issue_OpenedBy_Actor"), row("I_1", "Issue", "x", "", "Reference", pattern="SHA")], COLUMNS)
+    rows = rows.withColumnsRenamed({"source_entity_type": "src_entity_type", "target_entity_type": "tar_entity_type"})
+    mapping.write_tables(rows, str(tmp_path))
+    native = readers.read_csv(spark, str(tmp_path / "relation_mapping_native"))
+    assert tuple(native.columns) == mapping.COLUMNS and native.count() == 2
+    assert readers.read_csv(spark, str(tmp_path / "service_verbs")).where("verb = 'OpenedBy'").first().service_rel_type == "OPENED_BY"

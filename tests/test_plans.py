@@ -63,7 +63,7 @@ def test_more_repairs():
 
 def test_generators():
     assert generate.template_first(S) == "MATCH (n:Actor) RETURN n LIMIT 25" and generate.template_first(Schema(labels=frozenset())) is None
-    open_world = Schema(directions=frozenset())
+    open_world = Schema(directions=frozenset(), properties=frozenset())
     slots = generate.Slots((generate.Entity("Issue", value="I_1"), generate.Entity("Actor")), (generate.Relation("EVENT_ACTION", "Issue"),),
                            windows=(generate.Window("source_event_time", "2023"),), sorts=(generate.Sort("entity_id", True, 5),))
     text, _ = generate.controlled(slots, open_world)
@@ -122,3 +122,51 @@ def test_matrix_traces_and_schema_text(spark, tmp_path):
     from loomgraph.plans.validate import describe
 
     assert readers.read_schema(describe(S)) == S
+
+
+def test_slots_are_parsed_and_filtered():
+    raw = {
+        "entity_slots": [{"label": "Issue", "value": 5}, {"label": "Odd"}, "junk"], "relation_slots": [{"rel_type": "EVENT_ACTION", "dst_label": "Actor"}],
+        "property_slots": [{"property_name": "entity_id", "value": "x"}, {"property_name": "nope"}],
+        "time_range_slots": [{"property_name": "source_event_time", "owner_kind": "relation"}], "sort_slots": [{"property_name": "nope"}],
+        "aggregation_slots": [{"function": "median"}, {"function": "count"}],
+    }
+    kept, refused = generate.Slots.parsed(raw).accepted(S)
+    assert [e.label for e in kept.entities] == ["Issue"] and kept.entities[0].value == "5" and [g.function for g in kept.aggregations] == ["COUNT"]
+    assert refused == ["label:Odd", "property:nope", "time:source_event_time", "sort:nope", "aggregation:MEDIAN"]
+
+
+def test_families_limit_shapes_and_lead_to_abstention():
+    one = generate.Slots((generate.Entity("Issue"),))
+    assert generate.controlled(one, S, ("entity_filter",))[0].startswith("MATCH (n:Issue)")
+    text, why = generate.controlled(one, S, ("join_traversal",))
+    assert text is None and why[-1] == "no shape fits"
+
+
+def test_nearest_property_and_typed_faults():
+    from loomgraph.plans import repair
+
+    r = repair.repair("MATCH (a:Actor) RETURN a.entity_idd", ["ILLEGAL_PROPERTY"], S, repair.Intent())
+    assert r.text.startswith("MATCH (a:Actor) RETURN a.entity_id AS") and r.valid and "replace_property_nearest" in r.edits
+    assert [(f.kind, f.place) for f in repair.faults(["UNKNOWN_REL", "odd"])] == [("UNKNOWN_REL", "relation pattern"), ("OTHER", "query")]
+    assert len(repair.OPERATORS) == 12
+
+
+def test_joined_corpus_names_lost_queries(spark):
+    cases, queries = spark.createDataFrame([("a", 1), ("b", 2)], "query_id string, n int"), spark.createDataFrame([("a", "t")], "query_id string, kind string")
+    assert evaluate.joined_corpus(cases.where("n = 1"), queries).count() == 1
+    with pytest.raises(KeyError, match="b"):
+        evaluate.joined_corpus(cases, queries)
+
+
+def test_configuration_readers():
+    from loomgraph.sources import readers
+
+    pack = readers.pack_config([{"raw_node_type": "Thing", "normalized_label": "Issue"}], [{"priority": "2", "contains_any": "b", "maps_to": "B"}, {"priority": "1", "contains_any": "a|c", "maps_to": "A"}])
+    assert readers.label_config(pack)["thing"] == "Issue" and readers.relation_rules(pack) == ((("a", "c"), "A"), (("b",), "B"))
+    doc = {"nodes": [{"node_uid": "1", "label": "Issue", "entity_id": "i"}, {"node_uid": "2", "label": "Actor"}], "edges": [{"source_node_uid": "1", "target_node_uid": "2", "rel_type": "R", "properties": {"t": 1}}]}
+    schema = readers.graph_schema(doc)
+    assert schema.directions == {"Issue-[:R]->Actor"} and schema.by_relation == {"R": frozenset({"t"})} and "entity_id" in schema.properties
+    assert readers.read_examples({"examples": [{"id": 1, "question": "q"}]})[0]["nl_query"] == "q"
+    with pytest.raises(ValueError):
+        readers.read_examples([{"id": 1}])
