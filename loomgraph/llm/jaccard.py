@@ -277,5 +277,6 @@ def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str
         rest = scratch.keep(rest.distinct().join(begun, ["a", "b"], "left_anti"))
     scratch.drop(named)
     more = scratch.keep(_verified(rest, nodes, texts, scratch, shingle, bound))
-    roots = components(found.unionByName(more), scratch)
+    if not more.isEmpty():
+        roots = components(found.unionByName(more), scratch)
     return nodes.select("node", "text_hash").join(roots, "node", "left").select("text_hash", F.coalesce("root", "node").alias("root"))
