@@ -60,6 +60,7 @@ def tune(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows of a small table dealt to all cores, as one small file is one split; a larger table stays as it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+    """The rows of a small table dealt to all cores, as one small file is one split; one of more bytes or files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
