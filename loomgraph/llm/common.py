@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import delete_on_exit, ship_package, shared_folder
+from loomgraph.session import delete_on_exit, shared_folder, ship_package, spread
 
 #: A word is a run of anything but the six ASCII blanks; bytes.split() without arguments cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,4 +76,4 @@ def n_words(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
