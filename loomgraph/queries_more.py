@@ -23,7 +23,8 @@ def _customers(spark, sf_dir, *columns) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", *columns)
 
 
-_KEY = F.col("c_custkey").cast("string")
+def _key():
+    return F.col("c_custkey").cast("string")
 
 
 # cleaning
@@ -42,14 +43,14 @@ def scalar_cleaning(spark, sf_dir):
     k = F.col("c_custkey")
     rows = _customers(spark, sf_dir, "c_name")
     year = F.when(k % 2 == 0, F.concat(F.lit("links in "), (2000 + k % 100).cast("string"), F.lit(" or 1999"))).otherwise("some day")
-    first = clean.first_nonempty(F.when(k % 3 == 0, " ").when(k % 3 == 1, F.col("c_name")), F.when(k % 3 == 0, F.concat(F.lit("b"), _KEY)))
-    kind = F.when(k % 3 == 0, F.concat(F.lit("PRRC_"), _KEY)).when(k % 3 == 1, F.concat(F.lit("R_"), _KEY)).otherwise(F.concat(F.lit("Z_"), _KEY))
+    first = clean.first_nonempty(F.when(k % 3 == 0, " ").when(k % 3 == 1, F.col("c_name")), F.when(k % 3 == 0, F.concat(F.lit("b"), _key())))
+    kind = F.when(k % 3 == 0, F.concat(F.lit("PRRC_"), _key())).when(k % 3 == 1, F.concat(F.lit("R_"), _key())).otherwise(F.concat(F.lit("Z_"), _key()))
     level = rules.query_level(F.when(k % 4 == 2, "given").otherwise(""), F.when(k % 4 == 0, "l1_x").when(k % 4 == 1, "L4_y").otherwise("other"))
     span = clean.year_range(year)
-    text = F.concat(F.when(k % 2 == 1, F.concat(F.lit("see #"), _KEY)).otherwise("see"), F.lit(" at "), F.upper(F.md5(_KEY)))
+    text = F.concat(F.when(k % 2 == 1, F.concat(F.lit("see #"), _key())).otherwise("see"), F.lit(" at "), F.upper(F.md5(_key())))
     return rows.select(
-        "c_custkey", first.alias("first_value"), clean.escape_literal(F.concat(F.lit("it's \\ "), _KEY)).alias("escaped"),
-        clean.normal_query(F.concat(F.lit("  MATCH  (n)\n RETURN "), _KEY)).alias("query_text"), span["time_start"].alias("time_start"),
+        "c_custkey", first.alias("first_value"), clean.escape_literal(F.concat(F.lit("it's \\ "), _key())).alias("escaped"),
+        clean.normal_query(F.concat(F.lit("  MATCH  (n)\n RETURN "), _key())).alias("query_text"), span["time_start"].alias("time_start"),
         span["time_end"].alias("time_end"), level.alias("level"), clean.id_type(kind, ABBREVIATIONS).alias("kind"),
         clean.issue_number(text).alias("number"), F.substring(clean.commit_sha(F.concat(text, F.lit(" "))), 1, 40).alias("sha"),
     )
@@ -63,8 +64,8 @@ def scalar_cleaning(spark, sf_dir):
 def object_text(spark, sf_dir):
     k = F.col("c_custkey")
     word = F.when(k % 2 == 0, "'it\\'s'").otherwise("'x'")
-    python = F.concat(F.lit("{'id': "), _KEY, F.lit(", 'flag': True, 'pair': (1, 2), 'gone': None, 'word': "), word, F.lit("}"))
-    as_json = F.concat(F.lit('{"id": '), _KEY, F.lit(', "flag": true, "pair": [1,2], "word": "'), F.when(k % 2 == 0, "it's").otherwise("x"), F.lit('"}'))
+    python = F.concat(F.lit("{'id': "), _key(), F.lit(", 'flag': True, 'pair': (1, 2), 'gone': None, 'word': "), word, F.lit("}"))
+    as_json = F.concat(F.lit('{"id": '), _key(), F.lit(', "flag": true, "pair": [1,2], "word": "'), F.when(k % 2 == 0, "it's").otherwise("x"), F.lit('"}'))
     text = F.when(k % 3 == 0, python).when(k % 3 == 1, as_json).otherwise("{broken")
     rows = clean.with_object_map(_customers(spark, sf_dir), text, "m")
     get = lambda n: F.try_element_at("m", F.lit(n))
@@ -76,16 +77,16 @@ def object_text(spark, sf_dir):
 )
 def deep_normalize(spark, sf_dir):
     clean.ship_package()
-    text = F.concat(F.lit("""{"a": \""""), _KEY, F.lit("""\", "b": ["1.5", "{'c': '7', 'd': 'x'}"], "e": \""""), F.col("c_name"), F.lit('"}'))
+    text = F.concat(F.lit("""{"a": \""""), _key(), F.lit("""\", "b": ["1.5", "{'c': '7', 'd': 'x'}"], "e": \""""), F.col("c_name"), F.lit('"}'))
     return _customers(spark, sf_dir, "c_name").select("c_custkey", clean.deep_json(text).alias("deep"))
 
 
 def _tagged(spark, sf_dir) -> DataFrame:
     """Customers as records with columns that no field takes."""
     return read(spark, sf_dir, "customer").select(
-        F.concat(F.lit("I_"), _KEY).alias("source_entity_id"), F.lit("issue").alias("source_entity_type"), F.lit("A_1").alias("target_entity_id"),
+        F.concat(F.lit("I_"), _key()).alias("source_entity_id"), F.lit("issue").alias("source_entity_type"), F.lit("A_1").alias("target_entity_id"),
         F.lit("user").alias("target_entity_type"), F.lit("EventAction").alias("relation_type"), F.lit("Issue_OpenedBy_Actor").alias("relation_label"),
-        F.col("c_mktsegment").alias("segment"), F.when(F.col("c_custkey") % 2 == 0, _KEY).alias("even"), F.lit("3").alias("weight"),
+        F.col("c_mktsegment").alias("segment"), F.when(F.col("c_custkey") % 2 == 0, _key()).alias("even"), F.lit("3").alias("weight"),
     )
 
 
