@@ -277,6 +277,11 @@ def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str
         rest = scratch.keep(rest.distinct().join(begun, ["a", "b"], "left_anti"))
     scratch.drop(named)
     more = scratch.keep(_verified(rest, nodes, texts, scratch, shingle, bound))
-    if not more.isEmpty():
-        roots = components(found.unionByName(more), scratch)
-    return nodes.select("node", "text_hash").join(roots, "node", "left").select("text_hash", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "text_hash").join(roots, "node", "left").select("text_hash", F.coalesce("root", "node").alias("root"))
+    if more.isEmpty():
+        return named
+    # components that these pairs join are found among the roots alone
+    above = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+    ends = more.join(above[0], "a", "left").join(above[1], "b", "left")
+    upper = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), scratch)
+    return named.join(upper.toDF("root", "top"), "root", "left").select("text_hash", F.coalesce("top", "root").alias("root"))
