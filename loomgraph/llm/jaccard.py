@@ -15,7 +15,7 @@ from .components import components
 from .substrings import Rolling, _mix
 
 #: Bytes of a sketch: counts of the shingles' hashes in as many cells.
-CELLS = 64
+CELLS = 256
 #: Members of a bucket that are compared with one of them first, and members of a block in which all pairs are compared.
 FAN, CHUNK = 512, 2048
 #: Parts of a set for each shingle of the smallest set that is cut alike.
