@@ -18,6 +18,8 @@ from .substrings import Rolling, _mix
 CELLS = 256
 #: Members of a bucket that are compared with one of them first, and members of a block in which all pairs are compared.
 FAN, CHUNK = 512, 2048
+#: Least keys of a text that its rows carry in blocks, so that a pair with several keys in common is told apart once.
+LEAST_KEYS = 16
 #: Parts of a set for each shingle of the smallest set that is cut alike.
 PARTS = 0.625
 #: Rows of the ids of wanted texts up to which they are broadcast; beyond, the texts are shuffled.
@@ -193,10 +195,27 @@ def _verified(
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _least(column: pa.Array) -> np.ndarray:
+    """Lists of sorted keys as one row each, filled up with the greatest long."""
+    out = np.full((len(column), LEAST_KEYS), np.iinfo(np.int64).max)
+    n = np.diff(column.offsets.to_numpy())
+    out[np.arange(LEAST_KEYS) < n[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def _met_before(token: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the least keys of two texts have one in common that is below the bucket's own."""
+    return ((x[:, :, None] == y[:, None, :]) & (x < token[:, None])[:, :, None]).any(axis=(1, 2))
+
+
 def _block_pairs(bound: float):
-    """Rows (block, node, root, size, sketch) sorted by block to pairs of other roots that size and sketch don't rule out."""
+    """Rows (block, token, chunk, node, root, size, sketch, least) sorted by block to pairs of other roots that size and sketch don't rule out.
 
-    def compared(block, node, root, size, cells) -> pa.RecordBatch:
+    A pair is left to the bucket of the least key that both texts carry, if there is one below this bucket's. Rows of one
+    chunk (-1: of any) are compared in that chunk's own block alone.
+    """
+
+    def compared(block, token, chunk, node, root, size, cells, least) -> pa.RecordBatch:
         a, b, at, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(block)), 1
         while True:  # rows are compared with the next one of their block, then with the one after it, and so on
             at = at[at + apart < len(block)]
@@ -205,9 +224,12 @@ def _block_pairs(bound: float):
                 break
             i, j = at, at + apart
             stay = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= bound * np.maximum(size[i], size[j]) - _SLACK)
+            stay &= (chunk[i] < 0) | (chunk[i] != chunk[j])
             i, j = i[stay], j[stay]
             stay = ~_far(cells[i], cells[j], size[i] + size[j], bound)
             i, j = i[stay], j[stay]
+            stay = ~_met_before(token[i], least[i], least[j])
+            i, j = i[stay], j[stay]
             a.append(np.minimum(node[i], node[j]))
             b.append(np.maximum(node[i], node[j]))
             apart += 1
@@ -218,7 +240,7 @@ def _block_pairs(bound: float):
         for r in batches:
             if not r.num_rows:
                 continue
-            now = [r.column(i).to_numpy() for i in range(4)] + [_sketches(r.column(4))]
+            now = [r.column(i).to_numpy() for i in range(6)] + [_sketches(r.column(6)), _least(r.column(7))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             # the last block may go on in the next batch
@@ -237,8 +259,9 @@ def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str
 
     Candidates have a key in common, which every pair that reaches the bound has, at any size of the table. Each bucket's
     members are compared with one of them first; then all pairs of a bucket that are not connected yet, in blocks of two
-    chunks, so no task holds a bucket. Sketches drop pairs that cannot reach the bound, and the texts of the others
-    decide. Texts without words are equal to each other and to no other.
+    chunks, so no task holds a bucket. Buckets of the same members count once, and a pair that meets in several buckets
+    leaves one of them, as a rule. Sketches drop pairs that cannot reach the bound, and the texts of the others decide.
+    Texts without words are equal to each other and to no other.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -248,7 +271,11 @@ def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str
     once = _nodes(texts, shingle, bound).groupBy("text_hash").agg(F.first(F.struct("size", "sketch", "fine", "keys")).alias("x"))
     nodes = scratch.keep(once.select(F.monotonically_increasing_id().alias("node"), "text_hash", "x.*"))
     at = nodes.select("node", F.explode("keys").alias("token"))
-    shared = at.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = [F.count(F.lit(1)).alias("n"), F.sum("node").alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")]
+    shared = at.groupBy("token").agg(*held).where("n > 1")
+    # of keys with the same members one is enough, of a large group's one for each way in which it is dealt
+    way = F.when(F.col("n") > FAN, F.pmod("token", F.lit(3))).alias("way")
+    shared = shared.groupBy("n", "sum", "xor", way).agg(F.min("token").alias("token")).select("token", "n")
     members = scratch.keep(at.join(shared, "token"))
 
     # dealt in three ways, so that a large group's parts overlap and become one component
@@ -268,10 +295,14 @@ def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str
     left = named.join(split.select("token"), "token").select("token", "n", "node")
     left = left.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     left = left.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
+    left = scratch.keep(left)
+    least = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("token")), 1, LEAST_KEYS).alias("least"))
     blocks = left.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
-        F.xxhash64("token", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"), "node"
+        F.xxhash64("token", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"), "token",
+        F.when(F.col("chunk") == F.col("other"), -1).otherwise(F.col("chunk")).alias("chunk"), "node",
     )
-    blocks = blocks.join(rooted, "node").select("block", "node", "root", "size", "sketch")
+    blocks = blocks.join(rooted.join(least, "node"), "node")
+    blocks = blocks.select("block", "token", "chunk", "node", "root", "size", "sketch", "least")
     rest = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_block_pairs(bound), "a long, b long")
     with arrow_batches(spark):
         rest = scratch.keep(rest.distinct().join(begun, ["a", "b"], "left_anti"))

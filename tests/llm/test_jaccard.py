@@ -50,9 +50,10 @@ def test_groups_equal_brute_force_at_any_chunk(spark, monkeypatch):
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = partition(brute_groups(texts), range(len(texts)))
-    for fan, chunk in ((512, 2048), (3, 8)):
+    for fan, chunk, least in ((512, 2048, 16), (3, 8, 1)):
         monkeypatch.setattr(jaccard, "FAN", fan)
         monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        monkeypatch.setattr(jaccard, "LEAST_KEYS", least)
         monkeypatch.setattr(jaccard, "BROADCAST_ROWS", fan)
         got = simhash.near_duplicates(docs, 5, 4, 1, 0.8).collect()
         assert partition([r.root for r in got], [r.doc_id for r in got]) == want
@@ -61,6 +62,26 @@ def test_groups_equal_brute_force_at_any_chunk(spark, monkeypatch):
     assert kept == {g[0] for g in want}
 
 
+def block_rows(least):
+    """Two equal texts of other roots that meet in the buckets 5, 7 and 9."""
+    import numpy as np
+    import pyarrow as pa
+
+    cells = jaccard.sketch(np.arange(10, dtype=np.uint64)).tobytes()
+    rows = [(100 + t, t, -1, node, node, 10, cells, least) for t in (5, 7, 9) for node in (1, 2)]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list("abcdefgh")
+    )
+
+
+def test_a_pair_leaves_one_of_its_buckets():
+    """With all keys at hand the least bucket gives the pair; of keys that aren't carried each bucket gives it."""
+    for least, want in (([5, 7, 9], 1), ([5], 1), ([], 3), ([9], 3)):
+        got = sum(b.num_rows for b in jaccard._block_pairs(0.8)(iter([block_rows(least)])))
+        assert got == want
+
+
 def test_bounds_lose_no_pair():
     rnd = random.Random(3)
     import numpy as np
