@@ -160,6 +160,8 @@ def links(nodes: DataFrame, radius: int, width: int = BITS, most: int | None = N
         ).alias("key"),
     )
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Spark takes the exploded keys to be as small as the table of nodes, and would broadcast them
+    shared = shared.hint("merge")
     if most is None:
         members, most = keys.select("key", "node", F.array("fp").alias("fps")).join(shared, "key"), radius
     else:
@@ -203,7 +205,8 @@ def near_duplicates(
     rooted = classes.join(linked, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(smallest, "root").select("node", "root", "component_id")
-    return rows.join(named, "node").select("doc_id", "text_hash", "fps", "root", "component_id")
+    # rows of many copies are a small file, but not small once broadcast
+    return rows.join(named.hint("merge"), "node").select("doc_id", "text_hash", "fps", "root", "component_id")
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -58,6 +58,14 @@ def test_large_buckets_are_cut_without_losing_links(spark, monkeypatch):
     assert {r.root for r in found} == {min(fps)} and len(found) == len(fps) - 1
 
 
+def test_exploded_keys_and_rows_are_not_broadcast(spark, docs, tmp_path):
+    spark.createDataFrame([(p, [p]) for p in range(300)], "node long, fps array<long>").write.parquet(str(tmp_path / "nodes"))
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan(simhash.links(spark.read.parquet(str(tmp_path / "nodes")), 4))
+    joins = [x for x in plan(simhash.op1(docs)).splitlines() if "Join" in x]
+    assert "SortMergeJoin" in joins[0]
+
+
 def test_dedup_keeps_one_of_each_group(docs, clashing, empty):
     kept = simhash.dedup(docs).collect()
     texts = [r.text for r in kept]
