@@ -14,8 +14,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: shingles of five words."""
-    return simhash.dedup(docs, shingle=5)
+    """One document of each near-duplicate group: SimHash over shingles of five words, four bits, then the exact similarity."""
+    return simhash.dedup(docs, shingle=5, radius=4)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Scratch, arrow_batches, short_batches
 from .components import components
 from .substrings import Rolling, _mix
@@ -124,21 +125,36 @@ def _pairs(a, b) -> pa.RecordBatch:
 
 
 def _nodes(texts: DataFrame, shingle: int, bound: float) -> DataFrame:
-    """(text_hash, size, sketch, fine, keys): one row for each row of texts."""
+    """(text_hash, fp, size, sketch, fine, keys): one row for each row of texts; fp is the SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([sketch(h).tobytes() for h in sets], pa.binary()),
+                    b.column(0), pa.array([simhash.fingerprint(t.as_py(), shingle)[0] for t in b.column(1)], pa.int64()),
+                    pa.array([len(h) for h in sets], pa.int64()), pa.array([sketch(h).tobytes() for h in sets], pa.binary()),
                     pa.array([sketch(h, fine_cells(len(h))).tobytes() for h in sets], pa.binary()),
                     pa.array([keys(h, bound).view(np.int64) for h in sets], pa.list_(pa.int64())),
                 ],
-                names=["text_hash", "size", "sketch", "fine", "keys"],
+                names=["text_hash", "fp", "size", "sketch", "fine", "keys"],
             )
 
-    return texts.mapInArrow(run, "text_hash long, size long, sketch binary, fine binary, keys array<long>")
+    return texts.mapInArrow(run, "text_hash long, fp long, size long, sketch binary, fine binary, keys array<long>")
+
+
+def met(nodes: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
+    """Pairs (a, b), a < b, of (node, fp) that connect all nodes whose SimHash fingerprints differ in `radius` bits or fewer.
+
+    Fingerprints are linked through covering masks; of the nodes with one fingerprint, the least stands for all.
+    """
+    classes = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(classes, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = simhash.links(classes.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), radius).distinct()
+    ends = [classes.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b")]
+    found = found.join(ends[0], "a").join(ends[1], "b")
+    found = found.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return equal.where("a <> b").unionByName(found)
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, bound: float, column: str) -> DataFrame:
@@ -254,10 +270,11 @@ def _block_pairs(bound: float):
     return run
 
 
-def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str = "text", radius: int = 4) -> DataFrame:
     """(text_hash, root): one row for each distinct text; equal roots are texts connected by pairs that reach the bound.
 
-    Candidates have a key in common, which every pair that reaches the bound has, at any size of the table. Each bucket's
+    The first candidates are the pairs that SimHash links within the radius. It can't reach every pair at the bound, so
+    further candidates have a key in common, which every pair that reaches the bound has, at any size of the table. Each bucket's
     members are compared with one of them first; then all pairs of a bucket that are not connected yet, in blocks of two
     chunks, so no task holds a bucket. Buckets of the same members count once, and a pair that meets in several buckets
     leaves one of them, as a rule. Sketches drop pairs that cannot reach the bound, and the texts of the others decide.
@@ -268,7 +285,7 @@ def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str
     scratch = Scratch(spark, "jaccard")
     text = F.col(text_col)
     texts = docs.select(F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("t"))
-    once = _nodes(texts, shingle, bound).groupBy("text_hash").agg(F.first(F.struct("size", "sketch", "fine", "keys")).alias("x"))
+    once = _nodes(texts, shingle, bound).groupBy("text_hash").agg(F.first(F.struct("fp", "size", "sketch", "fine", "keys")).alias("x"))
     nodes = scratch.keep(once.select(F.monotonically_increasing_id().alias("node"), "text_hash", "x.*"))
     at = nodes.select("node", F.explode("keys").alias("token"))
     held = [F.count(F.lit(1)).alias("n"), F.sum("node").alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")]
@@ -282,7 +299,8 @@ def groups(docs: DataFrame, shingle: int = 5, bound: float = 0.8, text_col: str
     dealt = F.pmod(F.xxhash64("node", F.pmod("token", F.lit(3))), F.ceil(F.col("n") / FAN))
     parts = members.select("token", "node", dealt.alias("part"))
     first = parts.groupBy("token", "part").agg(F.min("node").alias("a"))
-    begun = parts.join(first, ["token", "part"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    begun = parts.join(first, ["token", "part"]).where("node <> a").select("a", F.col("node").alias("b"))
+    begun = begun.unionByName(met(nodes.select("node", "fp"), scratch, radius)).distinct()
     with arrow_batches(spark):
         begun = scratch.keep(_near(begun, nodes, bound, "sketch"))
     found = scratch.keep(_verified(begun, nodes, texts, scratch, shingle, bound))

@@ -183,15 +183,16 @@ def near_duplicates(
     Null, blank and empty texts have fingerprint zero and link like any other. Repeated rows and equal texts share a
     node. A null id never becomes a component_id unless its whole component has no other. An empty table gives no rows.
 
-    Without a similarity, links are all pairs within the radius in some family. With one, the radius says nothing and links
-    are all pairs of texts whose shingles have that Jaccard similarity or more; component_id and root are those of the texts.
+    Without a similarity, links are all pairs within the radius in some family. With one, links are all pairs of texts whose
+    shingles have that Jaccard similarity or more; those within the radius in the first family are tried first, and
+    jaccard.groups finds the rest. component_id and root are those of the texts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     rows = fingerprints(docs, shingle, families, id_col, text_col)
     if similarity is not None:
         rows = scratch.keep(rows)
-        texts = scratch.keep(jaccard.groups(docs, shingle, similarity, text_col))
+        texts = scratch.keep(jaccard.groups(docs, shingle, similarity, text_col, radius))
         ids = rows.groupBy("text_hash").agg(F.min("doc_id").alias("least"))
         smallest = texts.join(ids, "text_hash").groupBy("root").agg(F.min("least").alias("component_id"))
         named = scratch.keep(texts.join(smallest, "root"))
@@ -215,14 +216,15 @@ def op1(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """Keep one row of each near-duplicate group: the one with the smallest id (nulls last), then the smallest text hash.
 
     A group is connected by pairs of texts whose shingles have at least that Jaccard similarity; all such pairs count, and
-    no other. Columns are those of docs. Rows repeated in full leave one.
+    no other. SimHash proposes the pairs within the radius, the exact similarity decides, and jaccard.groups proposes the
+    pairs beyond the radius. Columns are those of docs. Rows repeated in full leave one.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    texts = scratch.keep(jaccard.groups(docs, shingle, similarity))
+    texts = scratch.keep(jaccard.groups(docs, shingle, similarity, radius=radius))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
     # the first row of each text comes from a partial aggregate, so a text with many copies is one row of the join
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).groupBy("text_hash").agg(F.min(order).alias("first"))

@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from loomgraph.llm import jaccard, simhash
+from loomgraph.llm.common import Scratch
 
 
 def sets(text, n=5):
@@ -39,6 +42,18 @@ def near_texts():
     return [*texts, "few words", "few  WORDS", "", None, " \n "]
 
 
+def joined(pairs, n):
+    """The least member of each one's component."""
+    least = list(range(n))
+    for _ in range(n):
+        before = list(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    return least
+
+
 def partition(keys, ids):
     out = {}
     for k, i in zip(keys, ids, strict=True):
@@ -46,6 +61,29 @@ def partition(keys, ids):
     return sorted(map(sorted, out.values()))
 
 
+def test_simhash_proposes_all_pairs_within_its_radius(spark):
+    texts = [t for t in near_texts() if t]
+    prints = [simhash.fingerprint(t.encode(), 5)[0] for t in texts]
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp long")
+    found = {(r.a, r.b) for r in jaccard.met(nodes, Scratch(spark, "test"), 4).collect()}
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if ((prints[i] ^ prints[j]) & 2**64 - 1).bit_count() <= 4]
+    assert found <= set(near) and len(found) > 5 and joined(found, len(texts)) == joined(near, len(texts))
+
+
+def test_near_duplicate_stage_goes_through_simhash(spark, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    seen, links = [], simhash.links
+
+    def watched(nodes, radius, *rest):
+        seen.append(({r.node for r in nodes.collect()}, radius))
+        return links(nodes, radius, *rest)
+
+    monkeypatch.setattr(simhash, "links", watched)
+    docs = spark.createDataFrame(list(enumerate(near_texts())), "doc_id long, text string")
+    corpus_pipeline.distinct_documents(spark, docs, "").count()
+    assert seen == [({simhash.fingerprint((t or "").encode(), 5)[0] for t in near_texts()}, 4)]
+
+
 def test_groups_equal_brute_force_at_any_chunk(spark, monkeypatch):
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
