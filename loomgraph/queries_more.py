@@ -395,7 +395,7 @@ def corpus_join(spark, sf_dir):
 @register(oracle.edges() + " SELECT rel AS rel_type, svc AS service_rel_type, count(*) AS n, count(DISTINCT s_uid) AS sources FROM e GROUP BY ALL")
 def csv_round_trip(spark, sf_dir):
     path = store.scratch_path(spark, "csv")
-    sinks.write(graph(spark, sf_dir), path, "csv")
+    sinks.write(graph(spark, sf_dir), path, "csv", compression="gzip")
     back = readers.read_records(spark, f"{path}/edges", "csv")
     return back.groupBy("rel_type", "service_rel_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_node_uid").alias("sources"))
 

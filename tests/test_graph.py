@@ -159,6 +159,25 @@ def test_sinks_and_readers(spark, small, tmp_path):
         readers.read_records(spark, "x", "xml")
 
 
+def test_text_sinks_compress(spark, small, tmp_path):
+    for fmt in ("csv",):
+        sinks.write(small, str(tmp_path / fmt), fmt, compression="gzip")
+        sinks.write(small, str(tmp_path / fmt), fmt, compression="gzip")
+        assert all(p.suffix == ".gz" for p in (tmp_path / fmt).rglob("part-*"))
+    assert readers.read_csv(spark, str(tmp_path / "csv" / "edges")).count() == 6
+
+
+def test_records_go_once_the_graph_is_stored(spark):
+    from pathlib import Path
+
+    from loomgraph.session import shared_folder
+    from loomgraph.sources.graph_view import graph
+
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "loomgraph"
+    assert graph(spark, "/root/testdata/sf0.001").edges.count() > 0
+    assert not list(folder.glob("records-*/*.parquet"))
+
+
 def test_stream(spark, tmp_path):
     from loomgraph.streaming.ingest import edge_stream, write_edges
 
