@@ -417,7 +417,7 @@ def jsonl_round_trip(spark, sf_dir):
 )
 def script_round_trip(spark, sf_dir):
     path = store.scratch_path(spark, "script")
-    sinks.write(graph(spark, sf_dir), path, "cypher")
+    sinks.write(graph(spark, sf_dir), path, "cypher", compression="gzip")
     lines = spark.read.text(path).select(F.split("value", " ")[0].alias("statement"), F.regexp_extract("value", r"MERGE \(n:(\w+)", 1).alias("a"), F.regexp_extract("value", r"\[r:(\w+)", 1).alias("b"))
     return lines.groupBy("statement", F.concat("a", "b").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 

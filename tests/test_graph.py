@@ -159,12 +159,16 @@ def test_sinks_and_readers(spark, small, tmp_path):
         readers.read_records(spark, "x", "xml")
 
 
-def test_text_sinks_compress(spark, small, tmp_path):
-    for fmt in ("csv",):
+def test_text_sinks_compress_and_nodes_come_first(spark, small, tmp_path):
+    import gzip
+
+    for fmt in ("csv", "cypher"):
         sinks.write(small, str(tmp_path / fmt), fmt, compression="gzip")
         sinks.write(small, str(tmp_path / fmt), fmt, compression="gzip")
         assert all(p.suffix == ".gz" for p in (tmp_path / fmt).rglob("part-*"))
     assert readers.read_csv(spark, str(tmp_path / "csv" / "edges")).count() == 6
+    lines = [x for p in sorted((tmp_path / "cypher").rglob("part-*")) for x in gzip.open(p, "rt").read().splitlines()]
+    assert [x.split(" ")[0] for x in lines] == ["MERGE"] * 6 + ["MATCH"] * 6
 
 
 def test_records_go_once_the_graph_is_stored(spark):
