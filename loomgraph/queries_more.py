@@ -15,7 +15,7 @@ from loomgraph.plans import evaluate, validate
 from loomgraph.plans.compile import run_query
 from loomgraph.queries import _FIX, _broken, cypher, register
 from loomgraph.sources import readers, sinks
-from loomgraph.sources.graph_view import graph, raw_records, read
+from loomgraph.sources.graph_view import graph, passing_graph, raw_records, read
 from loomgraph.vocabulary import ABBREVIATIONS, NATIVE_LABELS
 
 
@@ -395,7 +395,8 @@ def corpus_join(spark, sf_dir):
 @register(oracle.edges() + " SELECT rel AS rel_type, svc AS service_rel_type, count(*) AS n, count(DISTINCT s_uid) AS sources FROM e GROUP BY ALL")
 def csv_round_trip(spark, sf_dir):
     path = store.scratch_path(spark, "csv")
-    sinks.write(graph(spark, sf_dir), path, "csv", compression="gzip")
+    with passing_graph(spark, sf_dir) as made:
+        sinks.write(made, path, "csv", compression="gzip")
     back = readers.read_records(spark, f"{path}/edges", "csv")
     return back.groupBy("rel_type", "service_rel_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_node_uid").alias("sources"))
 
