@@ -418,9 +418,16 @@ def jsonl_round_trip(spark, sf_dir):
 )
 def script_round_trip(spark, sf_dir):
     path = store.scratch_path(spark, "script")
-    sinks.write(graph(spark, sf_dir), path, "cypher", compression="gzip")
-    lines = spark.read.text(path).select(F.split("value", " ")[0].alias("statement"), F.regexp_extract("value", r"MERGE \(n:(\w+)", 1).alias("a"), F.regexp_extract("value", r"\[r:(\w+)", 1).alias("b"))
-    return lines.groupBy("statement", F.concat("a", "b").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    with passing_graph(spark, sf_dir) as made:
+        sinks.write(made, path, "cypher", compression="gzip")
+    statement = F.substring_index("value", " ", 1)
+    # texts of statements hold no bare quote, so what follows the ends' ids is the relation; plain searches cost less than patterns
+    bond = "' }) MERGE (s)-[r:"
+    at = F.locate(bond, F.col("value"))
+    label = F.substring(F.substring_index("value", " ", 2), len("MERGE (n:") + 1, 200)
+    relation = F.when(at > 0, F.substring_index(F.substring(F.col("value"), at + len(bond), F.lit(200)), " ", 1)).otherwise("")
+    kind = F.when(F.col("value").startswith("MERGE (n:"), label).otherwise(relation)
+    return spark.read.text(path).groupBy(statement.alias("statement"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(

@@ -67,3 +67,13 @@ def test_plain_times_and_labels(spark, zone):
     assert [r[0] for r in labels.select(clean.verb_from_label("t")).collect()] == ["b", "", "", "", "ü", "b_c"]
     words = spark.createDataFrame([("unKnown",), ("UNKNOWN",), ("unknowns",), ("N/A",)], "t string")
     assert [r[0] for r in words.select(clean.is_placeholder("t")).collect()] == [True, True, False, True]
+
+
+def test_script_round_trip_scans_the_edges_once(spark, tmp_path):
+    round_trip(spark, tmp_path, "script_round_trip")
+    graph = normalize(records(spark), NATIVE_LABELS)
+    sinks.write(graph, str(tmp_path / "out"), "cypher", compression="gzip")
+    assert graph.numbered is None  # numbered in the scan that writes, not stored before it
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "out" / "part=1")).collect()]
+    assert len(lines) == 2 and len({line.split("edge_uid: '")[1].split("'")[0] for line in lines}) == 2
+    assert all("null" not in line and "aux" not in line for line in lines)
